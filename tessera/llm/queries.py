@@ -6,7 +6,9 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, langid, neardup, pieces, quality, tokencount
+from pyspark.sql import functions as F
+
+from tessera.llm import chat, langid, neardup, pieces, quality, substrings, tokencount
 from tessera.llm.common import table
 
 #: Folder of the public tokenizer files.
@@ -21,6 +23,26 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), pos AS (
+  SELECT doc_id, unnest(range(1, len(words) - 33)) AS i, words FROM w WHERE len(words) >= 35
+), win AS (SELECT doc_id, i, md5(array_to_string(words[i:i+34], ' ')) AS h FROM pos),
+rep AS (SELECT doc_id, i FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, i + o AS i FROM rep, (SELECT unnest(range(0, 35)) AS o)),
+word AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -84,6 +106,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substrings": op1_substrings,
     "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
     "op4_pieces": op4_pieces,
@@ -91,4 +114,4 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES = {"op8_chat_format": OP8_SQL, "op9_near_duplicates": OP9_SQL}
+ORACLES = {"op1_substrings": OP1_SQL, "op8_chat_format": OP8_SQL, "op9_near_duplicates": OP9_SQL}
