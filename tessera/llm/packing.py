@@ -114,9 +114,9 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, targ
         weight = F.col("tokens").cast("double")
     sum_of = totals.select("source", weight.alias("weight"))
     whole = sum_of.agg(F.sum("weight").alias("w")).first()["w"] or 1.0
-    grid = sum_of.select("source", (F.col("weight") / F.lit(whole)).alias("share"), F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"))
+    grid = sum_of.select(F.col("source").alias("queue"), (F.col("weight") / F.lit(whole)).alias("share"), F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"))
     counts = held.groupBy(shard.alias("_shard"), F.col("source").alias("_source")).agg(F.sum("n").alias("tokens"))
-    filled = grid.join(counts, (F.col("shard") == F.col("_shard")) & F.col("source").eqNullSafe(F.col("_source")), "left").select("shard", "source", "share", F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    filled = grid.join(counts, (F.col("shard") == F.col("_shard")) & F.col("queue").eqNullSafe(F.col("_source")), "left").select("shard", F.col("queue").alias("source"), "share", F.coalesce("tokens", F.lit(0)).alias("tokens"))
     of_shard = filled.groupBy("shard").agg(F.sum("tokens").alias("shard_tokens"))
     before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     credits = filled.join(of_shard, "shard").select("shard", "source", "share", F.coalesce(F.sum(F.col("share") * F.col("shard_tokens") - F.col("tokens")).over(before), F.lit(0.0)).alias("credit"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, langid, neardup, pieces, quality, substrings, tokencount
+from tessera.llm import chat, langid, neardup, packing, pieces, quality, substrings, tokencount
 from tessera.llm.common import table
 
 #: Folder of the public tokenizer files.
@@ -57,6 +57,11 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source", "sequence_tokens")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -110,6 +115,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
     "op4_pieces": op4_pieces,
+    "op6_packing": op6_packing,
     "op8_chat_format": op8_chat_format,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_counts": op10_token_counts,
