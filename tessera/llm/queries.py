@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, langid, neardup, packing, pieces, quality, substrings, tokencount
+from tessera.llm import chat, langid, media, neardup, packing, pieces, quality, substrings, tokencount, warc
 from tessera.llm.common import table
 
 #: Folder of the public tokenizer files.
@@ -57,11 +57,29 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.restore(*media.store(table(spark, sf_dir, "documents")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source", "sequence_tokens")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.resolved(warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")), payloads=False))
+
+
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), o AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS original FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN original = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN original = page_id THEN NULL ELSE original END AS refers_to
+FROM o
+"""
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -115,9 +133,11 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
     "op4_pieces": op4_pieces,
+    "op5_media": op5_media,
     "op6_packing": op6_packing,
+    "op7_warc": op7_warc,
     "op8_chat_format": op8_chat_format,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES = {"op1_substrings": OP1_SQL, "op8_chat_format": OP8_SQL, "op9_near_duplicates": OP9_SQL}
+ORACLES = {"op1_substrings": OP1_SQL, "op7_warc": OP7_SQL, "op8_chat_format": OP8_SQL, "op9_near_duplicates": OP9_SQL}
