@@ -162,21 +162,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     source = docs.withColumn(_KEY, row_key(*[c for c in ("doc_id", "text") if c in columns]))
     texts = source.select(_KEY, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = _find_segments(texts)
-    twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # what a join reads is written before it, so that the join can split a key with very many rows
+    twice = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "twice")
     places = written(found.join(twice, "anchor").select(_KEY, "anchor", "content"), "places")
-    segments = places.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(_KEY).alias(_KEY))
-    kinds = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    segments = written(segments.join(kinds, "anchor"), "segments")
+    segments = written(places.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(_KEY).alias(_KEY)), "segments")
+    varied = written(segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor"), "varied")
 
-    asked = segments.where("kinds > 1").groupBy(_KEY).agg(F.collect_list(F.struct("content", F.least("n", F.lit(2)).alias("weight"))).alias("asked"))
+    asked = segments.join(varied, "anchor").groupBy(_KEY).agg(F.collect_list(F.struct("content", F.least("n", F.lit(2)).alias("weight"))).alias("asked"))
     asked = asked.select(_KEY, F.col("asked.content").alias("asked"), F.col("asked.weight").alias("weights"))
     one_text = texts.join(asked, _KEY)
     windows = written(_find_windows(one_text.select(_KEY, "text", "asked", "weights")), "windows")
-    # equal rows share a key and would all answer: an answer counts once
-    windows = windows.groupBy(_KEY, "anchor", "held").agg(F.count(F.lit(1)).alias("times"), F.max("weight").alias("weight"))
-    windows = windows.withColumn("weight", F.greatest("weight", F.least("times", F.lit(2))))
-    recurring = windows.groupBy("anchor", "held").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor", "held")
-    single = windows.where("weight = 1 or times > 1").select(_KEY, "anchor", "held").join(recurring, ["anchor", "held"]).select(_KEY, "held", F.lit(None).cast("long").alias("content"))
+    recurring = written(windows.groupBy("anchor", "held").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor", "held"), "recurring")
+    single = windows.where("weight = 1").select(_KEY, "anchor", "held").join(recurring, ["anchor", "held"]).select(_KEY, "held", F.lit(None).cast("long").alias("content"))
     full = places.join(segments.where("n > 1").select("anchor", "content"), ["anchor", "content"]).select(_KEY, F.lit(None).cast("long").alias("held"), "content")
     told = single.unionByName(full).groupBy(_KEY).agg(F.collect_set("held").alias("_held"), F.collect_set("content").alias("_content"))
 

@@ -78,7 +78,8 @@ def parse_records(data: bytes):
 def resolve(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """_key of each page that is a revisit, with the page_id and url of its original."""
     heads = pages.where(F.col("_size") >= least).select("_key", "page_id", "url", "_digest")
-    originals = heads.groupBy("_digest").agg(F.max("page_id").alias("_original"), F.max_by("url", "page_id").alias("_original_url"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _original is not null").drop("_n")
+    # written before the join, so that it can split a digest with very many rows
+    originals = written(heads.groupBy("_digest").agg(F.max("page_id").alias("_original"), F.max_by("url", "page_id").alias("_original_url"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _original is not null").drop("_n"), "originals")
     revisits = heads.join(originals, "_digest").where(~F.col("page_id").eqNullSafe(F.col("_original")))
     return revisits.select("_key", F.col("page_id").alias("_page"), F.col("_digest").alias("_same"), "_original", "_original_url").distinct()
 
