@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkernel as tk
+from tessera.schema import extended
 
 SPACE = "▁"
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -167,9 +168,9 @@ def model(path: str) -> PieceModel:
 
 def encode_texts(docs: DataFrame, path: str) -> DataFrame:
     """The columns of docs and `ids`, the ids of `text` with the end id; other columns stay."""
-    schema = docs.schema.add("ids", "array<int>") if "ids" not in docs.columns else None
-    if schema is None:
+    if "ids" in docs.columns:
         raise ValueError("docs already has a column ids")
+    schema = extended(docs.schema, ids="array<int>")
     at = docs.columns.index("text")
 
     def work(batches):

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textkernel as tk
 from tessera.llm.common import row_key, written
+from tessera.schema import extended
 
 WINDOW, PHRASE = 35, 8
 SHARD_CHARS = 1 << 20
@@ -178,7 +179,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     told = single.unionByName(full).groupBy(_KEY).agg(F.collect_set("held").alias("_held"), F.collect_set("content").alias("_content"))
 
     rows = source.join(told, _KEY, "left").drop(_KEY)
-    schema = docs.schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    schema = extended(docs.schema, n_words="long", n_removed="long", kept_text="string")
     at = columns.index("text")
 
     def work(batches):
