@@ -97,7 +97,7 @@ class CellIndex:
         sizes = self.cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
         return sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("num_vectors"), F.count(F.lit(1)).alias("n_cells"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_cell"))
 
-    def search_batch(self, queries: DataFrame, k: int = 10, n_probe: int = 8, key: str = "key", vector: str = "vector") -> DataFrame:
+    def search_batch(self, queries: DataFrame, k: int = 10, n_probe: int = 12, key: str = "key", vector: str = "vector") -> DataFrame:
         """query_id, key, distance, rank for a stated set of queries: each joins its probed cells.
 
         A cell's vectors meet its queries in one group of a cell and salt; every group passes on k a query.

@@ -20,14 +20,14 @@ from tessera.schema import extended
 @dataclass
 class Bucket:
     tokens: float
-    updated: float
+    updated: int  # microseconds
 
 
-def step(bucket: Bucket | None, at: float, rate: float, burst: float) -> tuple[Bucket, bool]:
-    """The bucket after a request at a time in seconds, and whether the request passes."""
+def step(bucket: Bucket | None, at: int, rate: float, burst: float) -> tuple[Bucket, bool]:
+    """The bucket after a request at a time in microseconds, and whether the request passes."""
     if bucket is None:
         return Bucket(burst, at), True
-    tokens = min(burst, bucket.tokens + max(0.0, at - bucket.updated) * rate)
+    tokens = min(burst, bucket.tokens + max(0, at - bucket.updated) / 1e6 * rate)
     passed = tokens >= 1.0
     return Bucket(tokens - 1.0 if passed else tokens, at), passed
 
@@ -38,7 +38,7 @@ def decisions(requests: DataFrame, rate: float, burst: float, client: str = "cli
     Requests are dealt by client and sorted, and a task carries a bucket from batch to batch: no client is
     ever held in memory.
     """
-    rows = requests.withColumn("_at", micros(ts) / F.lit(1e6)).repartition(client).sortWithinPartitions(client, ts, tie)
+    rows = requests.withColumn("_at", micros(ts)).repartition(client).sortWithinPartitions(client, ts, tie)
     schema = extended(requests.schema, allowed="boolean", tokens="double")
 
     def work(frames):

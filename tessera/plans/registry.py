@@ -199,7 +199,7 @@ def ivf_knn(spark, d):
     """Cells probed for every fiftieth vector; recall is tested."""
     v = _vectors(spark, d)
     found = index.CellIndex.build(v, index.IndexConfig(dimension=64, n_cells=16))
-    return found.search_batch(v.where("key % 50 = 0"), 10, 10)
+    return found.search_batch(v.where("key % 50 = 0"), 10)
 
 
 @query("SELECT count(*)::BIGINT AS num_vectors FROM embeddings")
@@ -575,9 +575,9 @@ def sessionize_30m(spark, d):
     return s.select("user_id", "session_no", "n_events", T.time_text(F.col("started")).alias("started"), T.time_text(F.col("ended")).alias("ended"))
 
 
-_BUCKET = """r AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+_BUCKET = """r AS (SELECT user_id, event_id, epoch_us(ts) AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 f AS (SELECT user_id, event_id, sec, n, 3.0::DOUBLE AS tokens, true AS allowed FROM r WHERE n = 1
-  UNION ALL SELECT r.user_id, r.event_id, r.sec, r.n, least(3.0, f.tokens + (r.sec - f.sec) / 86400) - CASE WHEN least(3.0, f.tokens + (r.sec - f.sec) / 86400) >= 1 THEN 1 ELSE 0 END, least(3.0, f.tokens + (r.sec - f.sec) / 86400) >= 1
+  UNION ALL SELECT r.user_id, r.event_id, r.sec, r.n, least(3.0, f.tokens + (r.sec - f.sec) / 1e6 / 86400) - CASE WHEN least(3.0, f.tokens + (r.sec - f.sec) / 1e6 / 86400) >= 1 THEN 1 ELSE 0 END, least(3.0, f.tokens + (r.sec - f.sec) / 1e6 / 86400) >= 1
   FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1)"""
 
 

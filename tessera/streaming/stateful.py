@@ -48,15 +48,15 @@ def limiter_decisions(requests: DataFrame, rate: float, burst: float) -> DataFra
         pdf = pd.concat(list(frames)).sort_values(["ts", "request_id"])
         held = Bucket(*state.get) if state.exists else None
         allowed = []
-        for at in pdf["ts"]:
-            held, passed = step(held, at.timestamp(), rate, burst)
+        for at in pd.to_datetime(pdf["ts"]):
+            held, passed = step(held, int(at.value // 1000), rate, burst)
             allowed.append(passed)
         state.update((held.tokens, held.updated))
         yield pd.DataFrame({"request_id": pdf["request_id"].to_numpy(), "client": [key[0]] * len(pdf), "ts": pdf["ts"].to_numpy(), "allowed": allowed})
 
     rows = requests.select("client", "ts", "request_id")
     out = f"request_id long, client {dict(rows.dtypes)['client']}, ts timestamp, allowed boolean"
-    return rows.groupBy("client").applyInPandasWithState(decide, out, "tokens double, updated double", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("client").applyInPandasWithState(decide, out, "tokens double, updated long", "append", GroupStateTimeout.NoTimeout)
 
 
 def sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", late: str = "10 minutes", timeout: int = TIMEOUT_MINUTES) -> DataFrame:
