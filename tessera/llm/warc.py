@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 from urllib.parse import quote
 
@@ -130,7 +131,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for data in batch.column(0):
                 out = []
-                for head, http, payload in parse_records(gzip.decompress(data.as_py())):
+                for head, http, payload in parse_records(gzip.GzipFile(fileobj=io.BytesIO(data.as_py())).read()):
                     digest, response = head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"] == "response"
                     page = head.get("warc-page-id")
                     out.append((None if page is None else int(page), head["warc-record-id"], head["warc-type"], head.get("warc-refers-to"), head.get("warc-target-uri"), payload if response and payloads else None, len(payload) if response else int(http["content-length"]), hashlib.sha1(payload).hexdigest() if response else digest, not response or hashlib.sha1(payload).hexdigest() == digest))
