@@ -36,3 +36,11 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
 def row_key(*columns: str):
     """A 64-bit key of a row's content. Equal rows share it; users must bear chance collisions."""
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000null")) for c in columns])
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """name, with as many underscores before it as make it differ from all columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

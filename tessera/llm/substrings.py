@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkernel as tk
-from tessera.llm.common import row_key, written
+from tessera.llm.common import fresh, row_key, written
 from tessera.schema import extended
 
 WINDOW, PHRASE = 35, 8
@@ -157,11 +157,22 @@ def locate(texts: list[list[bytes]], passages: list[tuple[int, int, int]]) -> li
     return [np.cumsum(r[:-1]) > 0 for r in removed]
 
 
+OUTPUTS = ("n_words", "n_removed", "kept_text")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with n_words, n_removed and kept_text (kept words joined by one space) of each text."""
+    """docs with n_words, n_removed and kept_text (kept words joined by one space) of each text.
+
+    Columns of these names in docs give way to them.
+    """
+    return _removed(docs.drop(*OUTPUTS), OUTPUTS)
+
+
+def _removed(docs: DataFrame, outputs: tuple[str, ...]) -> DataFrame:
     columns = docs.columns
-    source = docs.withColumn(_KEY, row_key(*[c for c in ("doc_id", "text") if c in columns]))
-    texts = source.select(_KEY, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = fresh("_own_key", columns)
+    source = docs.withColumn(own, row_key(*[c for c in ("doc_id", "text") if c in columns]))
+    texts = source.select(F.col(own).alias(_KEY), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = _find_segments(texts)
     # what a join reads is written before it, so that the join can split a key with very many rows
     twice = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "twice")
@@ -176,10 +187,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     recurring = written(windows.groupBy("anchor", "held").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor", "held"), "recurring")
     single = windows.where("weight = 1").select(_KEY, "anchor", "held").join(recurring, ["anchor", "held"]).select(_KEY, "held", F.lit(None).cast("long").alias("content"))
     full = places.join(segments.where("n > 1").select("anchor", "content"), ["anchor", "content"]).select(_KEY, F.lit(None).cast("long").alias("held"), "content")
-    told = single.unionByName(full).groupBy(_KEY).agg(F.collect_set("held").alias("_held"), F.collect_set("content").alias("_content"))
+    told = single.unionByName(full).groupBy(_KEY).agg(F.collect_set("held").alias("held"), F.collect_set("content").alias("content"))
+    told_key, held, content = (fresh(f"_told_{c}", columns) for c in ("key", "held", "content"))
+    told = told.select(F.col(_KEY).alias(told_key), F.col("held").alias(held), F.col("content").alias(content))
 
-    rows = source.join(told, _KEY, "left").drop(_KEY)
-    schema = extended(docs.schema, n_words="long", n_removed="long", kept_text="string")
+    rows = source.join(told, F.col(own) == F.col(told_key), "left")
+    schema = extended(docs.schema, **dict(zip(outputs, ("long", "long", "string"))))
     at = columns.index("text")
 
     def work(batches):
@@ -188,7 +201,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             for part in tk.slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], *_sift(part.column(at), part.column(len(columns)), part.column(len(columns) + 1))], names=names)
 
-    return rows.select(*[rows[c] for c in columns], "_held", "_content").mapInArrow(work, schema)
+    return rows.select(*[rows[c] for c in columns], held, content).mapInArrow(work, schema)
 
 
 def _sift(column: pa.Array, held: pa.Array, content: pa.Array) -> list[pa.Array]:
@@ -227,7 +240,8 @@ def _sift(column: pa.Array, held: pa.Array, content: pa.Array) -> list[pa.Array]
 
 def rewrite(docs: DataFrame) -> DataFrame:
     """docs with recurring passages taken out of text (and n_chars, if there, counted anew); columns as they are."""
-    done = remove_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    count = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars")).cast("long") if "n_chars" in docs.columns else None
+    n_words, removed, kept = (fresh(f"_{c}", docs.columns) for c in OUTPUTS)
+    done = _removed(docs, (n_words, removed, kept))
+    text = F.when(F.col(removed) > 0, F.col(kept)).otherwise(F.col("text"))
+    count = F.when(F.col(removed) > 0, F.length(kept)).otherwise(F.col("n_chars")).cast("long") if "n_chars" in docs.columns else None
     return done.select(*[text.alias(c) if c == "text" else count.alias(c) if c == "n_chars" else done[c] for c in docs.columns])
