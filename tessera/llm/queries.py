@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, langid, media, neardup, packing, pieces, quality, substrings, tokencount, warc
-from tessera.llm.common import table
+from tessera.llm.common import table, written
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -67,7 +67,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.resolved(warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")), payloads=False))
+    archives = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.resolved(written(warc.read_archives(archives, payloads=False), "records"))
 
 
 OP7_SQL = """
