@@ -195,6 +195,7 @@ def restore(containers: DataFrame, pool: DataFrame) -> DataFrame:
     listed = partial.select("content", F.explode(F.filter(F.arrays_zip("digests", "bodies"), lambda x: x["bodies"].isNull())["digests"]).alias("digest"))
     wanted = listed.distinct().join(pool, "digest")
     found = wanted.groupBy(F.col("content").alias("_content")).agg(F.map_from_entries(F.collect_list(F.struct(F.base64("digest"), "body"))).alias("found"))
+    found = written(found, "found")  # so that the join can split a content that very many rows have
     filled = partial.join(found, F.col("content") == F.col("_content"))
     bodies = F.zip_with("digests", "bodies", lambda d, b: F.coalesce(b, F.element_at("found", F.base64(d))))
     return _read(whole).unionByName(_read(filled.withColumn("bodies", bodies)))
