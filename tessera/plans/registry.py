@@ -16,6 +16,8 @@ from tessera.functions import vectors as V
 from tessera.operators import access, audit, cache, index, knn, kv, limiter, metrics, oplog
 from tessera.sources import generate
 from tessera.sources import text as sources
+from tessera.streaming import stateful
+from tessera.streaming.drain import drain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -616,3 +618,35 @@ def evictable_frames(spark, d):
     frames = table(spark, d, "labels").select("doc_id", "quality", F.col("toxic").alias("pin_count"))
     held = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
     return cache.evictable(frames).join(held, "doc_id", "left_semi").select("doc_id", "quality")
+
+
+# -- streams ------------------------------------------------------------------------------------------
+
+
+def _event_stream(spark, d) -> DataFrame:
+    path = f"{d.rstrip('/')}/events.parquet"
+    now = spark.read.parquet(path)
+    reader = spark.readStream.schema(now.schema)
+    if any(f.endswith("/events.parquet") for f in now.inputFiles()):  # one file: a stream reads folders
+        return reader.option("pathGlobFilter", "events.parquet").parquet(d)
+    return reader.parquet(path)
+
+
+@query(f"WITH {_L}, {_LAST} SELECT key, value FROM last WHERE op = 'put'")
+def streaming_oplog_state(spark, d):
+    op = F.when(F.col("event_type") == "error", oplog.DELETE).otherwise(oplog.PUT)
+    log = _event_stream(spark, d).select(F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").cast("string").alias("key"), F.col("props").alias("value"))
+    return oplog.current_state(drain(stateful.op_log_state(log), "update"))
+
+
+@query(f"WITH RECURSIVE {_BUCKET} SELECT user_id AS client, event_id AS request_id, allowed FROM f")
+def streaming_limiter(spark, d):
+    requests = _event_stream(spark, d).select(F.col("user_id").alias("client"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("request_id"))
+    return drain(stateful.limiter_decisions(requests, 1 / 86400, 3.0)).select("client", "request_id", "allowed")
+
+
+@query()
+def streaming_sessions(spark, d):
+    """Sessions that the watermark has closed; those of the last minutes are still open."""
+    events = _event_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    return drain(stateful.sessions(events))

@@ -138,3 +138,20 @@ def test_wal(spark):
     assert [r.lsn for r in oplog.wal_forward(wal, 6).collect()] == [6, 7, 8] and [r.lsn for r in oplog.wal_backward(wal, 2).collect()] == [2, 1]
     lsns = [r.lsn for r in oplog.numbered(wal.select(F.col("lsn").alias("x")), ["x"]).orderBy("x").collect()]
     assert lsns == sorted(set(lsns)) and lsns[0] == 1
+
+
+def test_commands(spark, tmp_path):
+    from tessera.cli import run
+
+    s = Store(spark, str(tmp_path / "cli"), dimension=2)
+    assert run(s, ["put", "a", "x", "y"]) == ["OK"] and run(s, ["get", "a"]) == ["x y"]
+    run(s, ["bput", "b:1", "c:2:3", "nothing"])
+    assert run(s, ["bget", "b", "z"]) == ["b = 1", "z = (not found)"]
+    assert run(s, ["scan", "a", "z", "2"]) == ["a = x y", "b = 1"]
+    run(s, ["vput", "v", "1,0"])
+    assert run(s, ["vget", "v"]) == ["1,0"] and run(s, ["vsearch", "1,0", "1"]) == ["v 0"]
+    run(s, ["delete", "a"])
+    assert run(s, ["get", "a"]) == ["(not found)"] and "total_entries: 2" in run(s, ["stats"])
+    for bad in (["vput", "v", "x"], ["get"], ["fly"]):
+        with pytest.raises(EngineError):
+            run(s, bad)
