@@ -172,9 +172,10 @@ def test_near_duplicates_odd_rows(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(want) | {None}
 
 
-@pytest.mark.parametrize("block", [256, 7])
-def test_near_duplicates_in_families(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "held"), [(256, 1 << 24), (7, 1 << 24), (256, 9000)])
+def test_near_duplicates_in_families(spark, monkeypatch, block, held):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", held)
     rng = random.Random(3)
     texts = []
     for f in range(6):
