@@ -60,11 +60,12 @@ def engine_stats(ops: DataFrame, kv: DataFrame) -> DataFrame:
     A get of a missing key counts neither as a get nor in the mean.
     """
     got, put = (F.col("kind") == "get") & F.col("hit"), F.col("kind") == "put"
-    totals = ops.agg(
+    both = ops.select("kind", "hit", "micros", F.lit(0).alias("entry")).unionByName(kv.select(F.lit(None).cast("string").alias("kind"), F.lit(False).alias("hit"), F.lit(None).cast("double").alias("micros"), F.lit(1).alias("entry")))
+    return both.agg(
         F.count_if(got).alias("total_gets"), F.count_if(put).alias("total_puts"),
         average_or_zero(F.when(got, F.col("micros"))).alias("avg_get_time_us"), average_or_zero(F.when(put, F.col("micros"))).alias("avg_put_time_us"),
+        F.coalesce(F.sum("entry"), F.lit(0)).alias("total_entries"),
     )
-    return totals.crossJoin(kv.agg(F.count(F.lit(1)).alias("total_entries")))  # one row each
 
 
 def rate(series: DataFrame, seconds: int = 300) -> DataFrame:

@@ -43,16 +43,15 @@ def apply_batch(kv: DataFrame, batch: DataFrame) -> DataFrame:
 
 def clear(log: DataFrame) -> DataFrame:
     """Deletes for all live keys, numbered after the log's end."""
-    end = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("end"))
-    live = current_state(log).select("key")
-    return live.join(F.broadcast(end)).select((F.col("end") + 1).alias("seq"), F.lit(DELETE).alias("op"), "key", F.lit(None).cast("string").alias("value"))
+    end = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("end")).first()["end"]
+    return current_state(log).select(F.lit(end + 1).cast("long").alias("seq"), F.lit(DELETE).alias("op"), "key", F.lit(None).cast("string").alias("value"))
 
 
 def counts(log: DataFrame) -> DataFrame:
     """Puts, deletes, live keys and deleted keys."""
-    ops = log.agg(F.count_if(F.col("op") == PUT).alias("n_puts"), F.count_if(F.col("op") == DELETE).alias("n_deletes"))
-    keys = last_ops(log).agg(F.count_if(F.col("op") == PUT).alias("n_live"), F.count_if(F.col("op") == DELETE).alias("n_deleted"))
-    return ops.crossJoin(keys)  # one row each
+    of_key = log.groupBy("key").agg(F.count_if(F.col("op") == PUT).alias("p"), F.count_if(F.col("op") == DELETE).alias("d"), F.max_by("op", "seq").alias("last"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return of_key.agg(total("p").alias("n_puts"), total("d").alias("n_deletes"), F.count_if(F.col("last") == PUT).alias("n_live"), F.count_if(F.col("last") == DELETE).alias("n_deleted"))
 
 
 def put_vectors(vectors: DataFrame, new: DataFrame, dimension: int, on_conflict: str = "update") -> DataFrame:
