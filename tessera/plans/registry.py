@@ -79,10 +79,10 @@ def _add_knn() -> None:
 _add_knn()
 
 
-@query(f"WITH {_E} SELECT q.key AS query_id, e.key, round(list_cosine_distance(e.v, q.v), 6) AS distance, row_number() OVER (PARTITION BY q.key ORDER BY round(list_cosine_distance(e.v, q.v), 6), e.key)::INTEGER AS rank FROM e, e q WHERE q.key < 20 QUALIFY rank <= 10")
+@query(f"WITH {_E} SELECT q.key AS query_id, e.key, round(list_cosine_distance(e.v, q.v), 6) AS distance, row_number() OVER (PARTITION BY q.key ORDER BY round(list_cosine_distance(e.v, q.v), 6), e.key)::INTEGER AS rank FROM e, e q WHERE q.key % 50 = 0 QUALIFY rank <= 10")
 def knn_join_batch(spark, d):
     v = _vectors(spark, d)
-    return knn.knn_join(v, v.where("key < 20"), 10)
+    return knn.knn_join(v, v.where("key % 50 = 0"), 10)
 
 
 @query(f"WITH {_ES} SELECT q.key AS query_id, e.key, round(list_distance(e.v, q.v), 6) AS distance, row_number() OVER (PARTITION BY q.key ORDER BY round(list_distance(e.v, q.v), 6), e.key)::INTEGER AS rank FROM e, e q WHERE q.key % 50 = 0 QUALIFY rank <= 5")
@@ -127,10 +127,10 @@ def knn_dimension_mismatch(spark, d):
     return knn.knn(_vectors(spark, d), [1.0, 2.0], 10)
 
 
-@query(f"WITH {_E}, g AS (SELECT q.key AS node, e.key AS neighbour, round(list_cosine_distance(e.v, q.v), 6) AS distance FROM e, e q WHERE q.key < 100 AND e.key <> q.key) SELECT node, neighbour, distance, row_number() OVER (PARTITION BY node ORDER BY distance, neighbour)::INTEGER AS rank FROM g QUALIFY rank <= 16")
+@query(f"WITH {_E}, g AS (SELECT q.key AS node, e.key AS neighbour, round(list_cosine_distance(e.v, q.v), 6) AS distance FROM e, e q WHERE q.key % 50 = 0 AND e.key <> q.key) SELECT node, neighbour, distance, row_number() OVER (PARTITION BY node ORDER BY distance, neighbour)::INTEGER AS rank FROM g QUALIFY rank <= 16")
 def knn_graph_m16(spark, d):
     v = _vectors(spark, d)
-    return knn.neighbour_graph(v, v.where("key < 100"), 16)
+    return knn.neighbour_graph(v, v.where("key % 50 = 0"), 16)
 
 
 @query(f"WITH {_E}, h AS (SELECT e.key, round(list_cosine_distance(e.v, q.v), 6) AS distance FROM e, (SELECT v FROM e WHERE key = 0) q ORDER BY distance, key LIMIT 10) SELECT h.key, distance, lang, length(text) AS n_chars FROM h JOIN documents ON doc_id = h.key")
@@ -172,10 +172,10 @@ def vec_codec_roundtrip(spark, d):
     return back.where(F.col("decoded") == F.col("vector")).select("key", F.col("decoded")[0].cast("double").alias("first_element"), V.dimension(F.col("decoded")).alias("dimension"))
 
 
-@query("SELECT vec_id AS key, len(embedding)::INTEGER AS dimension, true AS looks_like_vector FROM embeddings UNION ALL SELECT doc_id + 1000000, 0, false FROM documents WHERE doc_id < 50")
+@query("SELECT vec_id AS key, len(embedding)::INTEGER AS dimension, true AS looks_like_vector FROM embeddings UNION ALL SELECT doc_id + 1000000, 0, false FROM documents")
 def kv_render_kind(spark, d):
     v = codec.encode(_vectors(spark, d).select("key", "vector"), "vector").select("key", V.dimension(F.col("vector")).alias("dimension"), "value")
-    docs = table(spark, d, "documents").where("doc_id < 50").select((F.col("doc_id") + 1000000).alias("key"), F.lit(0).alias("dimension"), F.col("text").cast("binary").alias("value"))
+    docs = table(spark, d, "documents").select((F.col("doc_id") + 1000000).alias("key"), F.lit(0).alias("dimension"), F.col("text").cast("binary").alias("value"))
     return v.unionByName(docs).select("key", "dimension", codec.looks_like_vector(F.col("value")).alias("looks_like_vector"))
 
 
@@ -284,10 +284,9 @@ def kv_search(spark, d):
     return kv.search(_documents(spark, d), "LICEN").select("key")
 
 
-@query(f"SELECT key, CASE WHEN length(value) > 50 THEN value[1:50] || '...' ELSE value END AS shown, CASE WHEN strlen(value) < 1024 THEN strlen(value) || ' B' ELSE printf('%.1f KB', round(strlen(value) / 1024, 1)) END AS size FROM {_D} WHERE strlen(value) < 1048576")
+@query(f"SELECT key, CASE WHEN length(value) > 50 THEN value[1:50] || '...' ELSE value END AS shown, CASE WHEN strlen(value) < 1024 THEN strlen(value) || ' B' WHEN strlen(value) < 1048576 THEN printf('%.1f KB', round(strlen(value) / 1024, 1)) ELSE printf('%.1f MB', round(strlen(value) / 1048576, 1)) END AS size FROM {_D}")
 def kv_preview(spark, d):
-    docs = _documents(spark, d).where(F.octet_length("value") < 1048576)
-    return docs.select("key", T.preview(F.col("value"), 50).alias("shown"), T.human_bytes(F.octet_length("value")).alias("size"))
+    return _documents(spark, d).select("key", T.preview(F.col("value"), 50).alias("shown"), T.human_bytes(F.octet_length("value")).alias("size"))
 
 
 @query(f"SELECT key, 'kv' AS entry_type FROM {_D} UNION ALL SELECT lpad(CAST(vec_id AS VARCHAR), 8, '0'), 'vector' FROM embeddings")
@@ -371,10 +370,10 @@ def oplog_counts(spark, d):
     return oplog.counts(_log(spark, d))
 
 
-@query(f"WITH {_L}, b AS (SELECT * FROM l WHERE seq <= 200), bl AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1), base AS (SELECT CAST(c_custkey AS VARCHAR) AS key, c_mktsegment AS value FROM customer) SELECT key, value FROM base WHERE key NOT IN (SELECT key FROM bl) UNION ALL SELECT key, value FROM bl WHERE op = 'put'")
+@query(f"WITH {_L}, bl AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1), base AS (SELECT CAST(c_custkey AS VARCHAR) AS key, c_mktsegment AS value FROM customer) SELECT key, value FROM base WHERE key NOT IN (SELECT key FROM bl) UNION ALL SELECT key, value FROM bl WHERE op = 'put'")
 def oplog_batch_order(spark, d):
     base = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_mktsegment").alias("value"))
-    return oplog.apply_batch(base, _log(spark, d).where("seq <= 200"))
+    return oplog.apply_batch(base, _log(spark, d))
 
 
 @query(f"WITH {_L}, del AS (SELECT key, max(seq) AS at FROM l WHERE op = 'delete' GROUP BY key) SELECT l.key, count(*) AS puts_after FROM l JOIN del ON del.key = l.key AND l.seq > del.at GROUP BY l.key")
@@ -440,10 +439,10 @@ g AS (SELECT name, le FROM (SELECT DISTINCT name FROM ob), b),
 h AS (SELECT g.name, g.le, count(o.name) AS count FROM g LEFT JOIN (SELECT name, (SELECT min(le) FROM b WHERE value <= le) AS le FROM ob WHERE value IS NOT NULL) o ON o.name = g.name AND o.le = g.le GROUP BY ALL)"""
 
 
-@query(f"WITH {_BUCKETS} SELECT name, CAST(le AS VARCHAR) AS le, count FROM h WHERE le < 'Infinity'::DOUBLE AND le NOT IN (1, 5, 10)")
+@query(f"WITH {_BUCKETS} SELECT name, CASE WHEN le = 'Infinity'::DOUBLE THEN -1 ELSE le END AS le, count FROM h")
 def hist_bucket(spark, d):
     h = metrics.histogram(_observations(spark, d))
-    return h.where("le < 1 ").select("name", F.col("le").cast("string").alias("le"), "count")
+    return h.select("name", F.when(F.col("le") == float("inf"), -1.0).otherwise(F.col("le")).alias("le"), "count")
 
 
 @query(f"WITH {_BUCKETS} SELECT name, CASE WHEN le = 'Infinity'::DOUBLE THEN -1 ELSE le END AS le, (sum(count) OVER (PARTITION BY name ORDER BY le))::BIGINT AS cumulative FROM h")
@@ -468,12 +467,12 @@ def prom_text(spark, d):
 
 
 @query(f"""WITH {_BUCKETS}, c AS (SELECT name, le, (sum(count) OVER (PARTITION BY name ORDER BY le))::BIGINT AS n FROM h)
-SELECT name, name || '_bucket{{le="' || CASE WHEN le = 'Infinity'::DOUBLE THEN '+Inf' WHEN le >= 1 THEN CAST(le::INTEGER AS VARCHAR) ELSE CAST(le AS VARCHAR) END || '"}} ' || n AS line FROM c WHERE le NOT IN (0.001, 0.005)
+SELECT name, name || '_bucket{{le="' || CASE WHEN le = 'Infinity'::DOUBLE THEN '+Inf' WHEN le >= 1 THEN CAST(le::INTEGER AS VARCHAR) ELSE CAST(le AS VARCHAR) END || '"}} ' || n AS line FROM c
 UNION ALL SELECT name, name || '_count ' || count(value) FROM ob GROUP BY name""")
 def prom_histogram(spark, d):
     empty = spark.createDataFrame([], "name string, type string, value double")
     lines = metrics.prometheus_lines(empty, _observations(spark, d))
-    return lines.where("line like '%\\_bucket{%' or line like '%\\_count %'").where("le not in (0.001D, 0.005D)").select("name", "line")
+    return lines.where("line like '%\\_bucket{%' or line like '%\\_count %'").select("name", "line")
 
 
 @query("""WITH s AS (SELECT event_type AS name, ts, event_id::DOUBLE AS value FROM events)
