@@ -30,6 +30,7 @@ WINDOW = 2048
 LEAST_PIECE = 256
 SHARD_TOKENS = 2_000_000
 SEQUENCES = 1 << 32
+BUCKET = 1024
 SCHEMA = "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, ids binary"
 
 
@@ -102,33 +103,34 @@ def deal(queues: list[list[int]], lengths: list[int], shares: list[float], credi
 
 def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, targets: dict[str, float] | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Pieces of all texts in sequences, columns of SCHEMA. targets: weight of each source; its own share of tokens if none."""
-    held = written(tokenize(docs, path, end_id), "tokens")
-    totals = held.groupBy("source").agg(F.sum("n").alias("tokens"))
-    every = totals.agg(F.sum("tokens").alias("t")).first()["t"] or 0
+    spot = F.xxhash64("doc_id", "n", F.crc32("ids"))
+    queue = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # not null, so that it can be joined
+    held = written(tokenize(docs, path, end_id).withColumn("spot", spot).withColumn("queue", queue), "tokens")
+    every = held.agg(F.sum("n").alias("t")).first()["t"] or 0
     n_shards = max(1, math.ceil(every / shard_tokens))
-    shard = F.pmod(F.xxhash64("doc_id", "n", F.crc32("ids")), F.lit(n_shards)).cast("int")
+    shard = F.pmod("spot", F.lit(n_shards)).cast("int")
+    counts = written(held.groupBy(shard.alias("shard"), "queue").agg(F.sum("n").alias("tokens")), "counts")
+    totals = counts.groupBy("queue").agg(F.sum("tokens").alias("all_tokens"))
     if targets:
-        known = F.create_map(*[x for k, v in sorted(targets.items()) for x in (F.lit(k), F.lit(float(v)))])
-        weight = F.coalesce(F.try_element_at(known, F.coalesce("source", F.lit(""))), F.lit(0.0))
+        known = F.create_map(*[x for k, v in sorted(targets.items()) for x in (F.lit(f"={k}"), F.lit(float(v)))])
+        weight = F.coalesce(F.try_element_at(known, F.col("queue")), F.lit(0.0))
     else:
-        weight = F.col("tokens").cast("double")
-    sum_of = totals.select("source", weight.alias("weight"))
-    whole = sum_of.agg(F.sum("weight").alias("w")).first()["w"] or 1.0
-    grid = sum_of.select(F.col("source").alias("queue"), (F.col("weight") / F.lit(whole)).alias("share"), F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"))
-    counts = held.groupBy(shard.alias("_shard"), F.col("source").alias("_source")).agg(F.sum("n").alias("tokens"))
-    filled = grid.join(counts, (F.col("shard") == F.col("_shard")) & F.col("queue").eqNullSafe(F.col("_source")), "left").select("shard", F.col("queue").alias("source"), "share", F.coalesce("tokens", F.lit(0)).alias("tokens"))
-    of_shard = filled.groupBy("shard").agg(F.sum("tokens").alias("shard_tokens"))
-    before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    credits = filled.join(of_shard, "shard").select("shard", "source", "share", F.coalesce(F.sum(F.col("share") * F.col("shard_tokens") - F.col("tokens")).over(before), F.lit(0.0)).alias("credit"))
+        weight = F.col("all_tokens").cast("double")
+    whole = totals.agg(F.sum(weight).alias("w")).first()["w"] or 1.0
+    shares = totals.select("queue", (weight / F.lit(whole)).alias("share"))
+    of_shard = counts.groupBy("shard").agg(F.sum("tokens").alias("shard_tokens"))
+    dealt_before = _before(of_shard, [], "shard_tokens", "dealt")
+    served_before = _before(counts, ["queue"], "tokens", "served")
+    credits = served_before.join(shares, "queue").join(dealt_before, "shard").select("shard", "queue", "share", (F.col("share") * F.col("dealt") - F.col("served")).alias("credit"))
 
     def fill(key, tokens: pa.Table, due: pa.Table) -> pa.Table:
         order = sorted(range(tokens.num_rows), key=lambda k: rank[k]) if (rank := _rank(tokens)) else []
-        doc, source, counts, ids = (tokens.column(c).to_pylist() for c in ("doc_id", "source", "n", "ids"))
-        named = sorted(zip(due.column("source").to_pylist(), due.column("share").to_pylist(), due.column("credit").to_pylist()), key=lambda x: (x[0] is not None, x[0] or ""))
+        doc, source, queue_of, counts, ids = (tokens.column(c).to_pylist() for c in ("doc_id", "source", "queue", "n", "ids"))
+        named = sorted(zip(due.column("queue").to_pylist(), due.column("share").to_pylist(), due.column("credit").to_pylist()))
         index = {s: i for i, (s, _, _) in enumerate(named)}
         queues: list[list[int]] = [[] for _ in named]
         for k in order:
-            queues[index[source[k]]].append(k)
+            queues[index[queue_of[k]]].append(k)
         pieces = deal(queues, counts, [x[1] for x in named], [x[2] for x in named], window)
         size = sizes(sum(counts), window)
         codec, now, flat, out = pa.Codec("zstd", 1), -1, b"", []
@@ -144,10 +146,23 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, targ
         ]
         return pa.Table.from_arrays(columns, names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    dealt = held.withColumn("shard", shard).withColumn("spot", F.xxhash64("doc_id", "n", F.crc32("ids"), F.lit("order")))
+    dealt = held.withColumn("shard", shard).withColumn("spot", F.xxhash64("spot", F.lit("order")))
     return dealt.groupBy("shard").cogroup(credits.groupBy("shard")).applyInArrow(fill, SCHEMA)
 
 
+def _before(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """rows with `out`, the sum of value over the smaller shards of the same keys.
+
+    Sums run within buckets of BUCKET shards and over buckets, so no window holds more than a key's buckets.
+    """
+    bucketed = rows.withColumn("bucket", F.floor(F.col("shard") / BUCKET))
+    inner = Window.partitionBy(*keys, "bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = bucketed.groupBy(*keys, "bucket").agg(F.sum(value).alias("_sum")).withColumn("_outer", F.coalesce(F.sum("_sum").over(outer), F.lit(0))).drop("_sum")
+    within = bucketed.withColumn("_inner", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    return within.join(buckets, [*keys, "bucket"]).withColumn(out, F.col("_inner") + F.col("_outer")).drop("bucket", "_inner", "_outer")
+
+
 def _rank(tokens: pa.Table) -> list:
     """A fixed order of a shard's rows, whatever order they come in."""
     return list(zip(tokens.column("spot").to_pylist(), [(x is not None, x or 0) for x in tokens.column("doc_id").to_pylist()], tokens.column("ids").to_pylist()))
