@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,6 +45,15 @@ def _delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Has the driver look for shuffles that nothing refers to any more, so that their files go now.
+
+    Without it they stay until the driver's memory happens to be collected.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table of written() that nothing reads any more."""
     if (path := getattr(df, "_tessera_path", None)) in _made:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkernel as tk
-from tessera.llm.common import fresh, row_key, written
+from tessera.llm.common import fresh, row_key, sweep, written
 from tessera.schema import extended
 
 WINDOW, PHRASE = 35, 8
@@ -177,6 +177,7 @@ def _removed(docs: DataFrame, outputs: tuple[str, ...]) -> DataFrame:
     # what a join reads is written before it, so that the join can split a key with very many rows
     twice = written(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "twice")
     places = written(found.join(twice, "anchor").select(_KEY, "anchor", "content"), "places")
+    sweep(docs.sparkSession)
     segments = written(places.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(_KEY).alias(_KEY)), "segments")
     varied = written(segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor"), "varied")
 
@@ -184,6 +185,7 @@ def _removed(docs: DataFrame, outputs: tuple[str, ...]) -> DataFrame:
     asked = asked.select(_KEY, F.col("asked.content").alias("asked"), F.col("asked.weight").alias("weights"))
     one_text = texts.join(asked, _KEY)
     windows = written(_find_windows(one_text.select(_KEY, "text", "asked", "weights")), "windows")
+    sweep(docs.sparkSession)
     recurring = written(windows.groupBy("anchor", "held").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor", "held"), "recurring")
     single = windows.where("weight = 1").select(_KEY, "anchor", "held").join(recurring, ["anchor", "held"]).select(_KEY, "held", F.lit(None).cast("long").alias("content"))
     full = places.join(segments.where("n > 1").select("anchor", "content"), ["anchor", "content"]).select(_KEY, F.lit(None).cast("long").alias("held"), "content")
