@@ -172,6 +172,28 @@ def test_near_duplicates_odd_rows(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(want) | {None}
 
 
+def test_one_row_of_a_group_is_kept(spark):
+    def text(name, n=80):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    near = text("near").replace("near40", "changed")
+    rows = [
+        (1, text("twice"), "a"), (1, text("twice"), "a"), (2, text("clean"), "a"), (None, text("clean"), "a"),
+        (None, text("nobody"), "a"), (None, text("nobody"), "a"), (None, text("nobody"), "b"), (3, text("near"), "a"), (None, near, "a"),
+        (4, text("own"), "a"), (4, text("other"), "a"), (6, text("other"), "a"), (5, "", "a"), (5, None, "a"), (5, text("worded"), "a"), (None, None, "a"), (None, "", "a"),
+    ]
+    for parts in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        kept = neardup.keep_one(docs)
+        assert kept.columns == docs.columns
+        got = Counter((r.doc_id, r.text) for r in kept.collect())
+        worded = {k: n for k, n in got.items() if k[1]}
+        assert worded == {k: 1 for k in [(1, text("twice")), (2, text("clean")), (None, text("nobody")), (3, text("near")), (4, text("own")), (4, text("other")), (5, text("worded"))]}
+        assert sum(n for k, n in got.items() if k[0] == 5 and not k[1]) == 1 and got[None, None] == got[None, ""] == 1
+        # what is left has no copy, so no text loses its words to the next stage
+        assert {(r.doc_id, r.text) for r in substrings.rewrite(kept).collect() if r.text} == set(worded)
+
+
 @pytest.mark.parametrize(("block", "held"), [(256, 1 << 24), (7, 1 << 24), (256, 9000)])
 def test_near_duplicates_in_families(spark, monkeypatch, block, held):
     monkeypatch.setattr(neardup, "BLOCK", block)
