@@ -7,11 +7,16 @@ as rank merges do, so the faster merge routine gives the library's ids; load_ran
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 #: The public pattern of byte-level BPE that splits a text into pre-tokens (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: White space of so many characters in a row is cut out before the pattern runs, whose stack ends at about a million.
+LONG_BLANK = 100_000
+_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
 
 def byte_of_char() -> dict[str, int]:
     """The printable character that byte-level files write for each byte, reversed."""
@@ -45,6 +50,21 @@ def encoding(path: str):
 
 def encode(enc, text: str) -> list[int]:
     """Ids as the tokenizers library gives them by default: special strings in a text are special tokens."""
+    if len(text) >= LONG_BLANK and (runs := [m.span() for m in _BLANK.finditer(text) if m.end() - m.start() >= LONG_BLANK]):
+        return _around(enc, text, runs)
     if any(s in text for s in enc.special_tokens_set):
         return enc.encode(text, allowed_special="all")
     return enc.encode_ordinary(text)
+
+
+def _around(enc, text: str, runs: list[tuple[int, int]]) -> list[int]:
+    """Ids of a text with long white space at runs. By the pattern a run is one pre-token without its last
+    character, which is left to what follows; at the end of a text or before a special string it is one as a whole."""
+    ids, at = [], 0
+    for start, end in runs:
+        if end < len(text) and not any(text.startswith(s, end) for s in enc.special_tokens_set):
+            end -= 1
+        ids += encode(enc, text[at:start])
+        ids += enc._core_bpe.encode_single_piece(text[start:end].encode())
+        at = end
+    return ids + encode(enc, text[at:])

@@ -110,6 +110,14 @@ def held(pieces_, docs, t):
     return Counter(own[0].sequence_tokens for own in by_seq.values())
 
 
+def test_long_white_space_is_encoded():
+    enc, t, rng = bytebpe.encoding(BPE), tokencount.load(BPE), random.Random(2)
+    mixed = "".join(rng.choice(" \n\t\u3000\u00a0\u2003\x85 ") for _ in range(1_100_000))
+    texts = [f"word{' ' * 1_100_000}tail", f"a{mixed}!!{mixed[:200_000]}", f"{mixed}\n<|endoftext|>{' ' * 150_000}x", f"a \x1c{mixed} \u200b", "\n" * 1_100_000 + "b<|endoftext|>"]
+    for text in texts:
+        assert bytebpe.encode(enc, text) == t.encode(text, add_special_tokens=False).ids
+
+
 def test_packing(spark):
     t = tokencount.load(BPE)
     docs = odd_docs(spark)
