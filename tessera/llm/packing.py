@@ -27,7 +27,6 @@ from tessera.llm import textkernel as tk
 from tessera.llm.common import written
 
 WINDOW = 2048
-LEAST_PIECE = 256
 SHARD_TOKENS = 2_000_000
 SEQUENCES = 1 << 32
 BUCKET = 1024
@@ -61,7 +60,18 @@ def sizes(total: int, window: int) -> list[int]:
     return [window] * (total // window) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def deal(queues: list[list[int]], lengths: list[int], shares: list[float], credit: list[float], window: int = WINDOW, least: int = LEAST_PIECE) -> list[tuple[int, int, int, int, int]]:
+def _quantum(rest: int, credit: list[float], shares: list[float]) -> float:
+    """The x for which sources of credit + share * x > 0 are due `rest` tokens together; no credit is above 0."""
+    total = owed = x = 0.0
+    for level, share in sorted((-c / s, s) for c, s in zip(credit, shares)):
+        if total and x <= level:
+            break
+        total, owed = total + share, owed + share * level
+        x = (rest + owed) / total
+    return x
+
+
+def deal(queues: list[list[int]], lengths: list[int], shares: list[float], credit: list[float], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
     """Pieces (row, start, length, sequence, offset). queues: rows of each source in order; shares: tokens a
     source is due of each token dealt; credit: tokens it is due at the start."""
     credit, live = list(credit), [i for i, q in enumerate(queues) if q]
@@ -78,13 +88,13 @@ def deal(queues: list[list[int]], lengths: list[int], shares: list[float], credi
             i = live[turn]
             if credit[i] <= 0 and len(live) > 1:
                 turn, idle = turn + 1, idle + 1
-                if idle >= len(live):  # none is due anything: a further round of quanta
-                    low = min(max(0.0, -credit[k]) / max(shares[k], 1e-12) for k in live) + 1.0
+                if idle >= len(live):  # none is due anything: the rest of the window is shared out too
+                    more = _quantum(size - offset, [credit[k] for k in live], [max(shares[k], 1e-12) for k in live])
                     for k in live:
-                        credit[k] += max(shares[k], 1e-12) * low
+                        credit[k] += max(shares[k], 1e-12) * more
                     idle = 0
                 continue
-            idle, due = 0, min(size - offset, max(least, math.ceil(credit[i])))
+            idle, due = 0, min(size - offset, math.ceil(credit[i])) if len(live) > 1 else size - offset
             queue = queues[i]
             while due and head[i] < len(queue):
                 row = queue[head[i]]

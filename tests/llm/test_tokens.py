@@ -150,6 +150,32 @@ def test_packing_keeps_proportions():
     assert source[packing.deal(queues, lengths, shares, [-3000.0, 3000.0, 0.0, 0.0])[0][0]] == 1
 
 
+@pytest.mark.parametrize("n_sources", [20, 60])
+def test_every_window_holds_the_proportions(n_sources):
+    rng = random.Random(1)
+    queues, lengths = [], []
+    for _ in range(n_sources):
+        n = rng.randrange(20, 400)
+        queues.append(list(range(len(lengths), len(lengths) + n)))
+        lengths += [rng.randrange(1, 900) for _ in range(n)]
+    left = [sum(lengths[k] for k in q) for q in queues]
+    shares = [x / sum(left) for x in left]
+    source = {k: i for i, q in enumerate(queues) for k in q}
+    windows = defaultdict(Counter)
+    dealt = packing.deal(queues, lengths, shares, [0.0] * n_sources)
+    for row, _, n, sequence, _ in dealt:
+        windows[sequence][source[row]] += n
+    assert sum(p[2] for p in dealt) == sum(lengths)
+    for _, got in sorted(windows.items()):
+        left = [n - got[i] for i, n in enumerate(left)]
+        if min(left) <= 0 or sum(got.values()) < 2048:  # a queue is empty, or the rest
+            break
+        assert all(abs(got[i] - shares[i] * 2048) <= n_sources for i in range(n_sources))
+    # without credit for those left, and with a source of no share, the rest of a window is still a few pieces a source
+    done = packing.deal([[0], [1], [2]], [9000, 9000, 9000], [0.2, 0.2, 0.0], [-5000.0, 0.0, 0.0])
+    assert sum(p[2] for p in done) == 27000 and len(done) < 100
+
+
 def test_packing_targets(spark):
     rows = [(i, "word " * 300, f"s{i % 2}") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
