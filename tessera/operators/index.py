@@ -80,7 +80,7 @@ class CellIndex:
         """Cells as a table, a folder each, so that a probe reads only what it needs."""
         self.cells.write.partitionBy("cell").parquet(path)
 
-    def search(self, query, k: int = 10, n_probe: int = 8, deleted: DataFrame | None = None) -> DataFrame:
+    def search(self, query, k: int = 10, n_probe: int = 20, deleted: DataFrame | None = None) -> DataFrame:
         """key, distance of the k nearest within the probed cells; deleted keys are dropped first."""
         from tessera.operators.knn import knn
 

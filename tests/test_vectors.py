@@ -100,6 +100,16 @@ def test_knn_join_equals_single_queries(spark):
     assert knn.knn_join(v, queries.where("false")).count() == 0 and knn.knn_join(v, queries, 0).count() == 0
 
 
+def test_index_recall_of_single_queries_at_defaults(spark):
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    queries = v.where("key % 50 = 0")
+    built = index.CellIndex.build(v, index.IndexConfig(dimension=64))
+    built.cells = built.cells.cache()
+    exact = {(r.query_id, r.key) for r in knn.knn_join(v, queries, 10).collect()}
+    found = {(q.key, r.key) for q in queries.collect() for r in built.search(q.vector).collect()}
+    assert len(exact & found) / len(exact) >= 0.9
+
+
 def test_index_recall(spark):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
     queries = v.where("key % 50 = 0")
