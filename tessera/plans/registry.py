@@ -113,7 +113,7 @@ def knn_prefix_filter(spark, d):
 @query(f"WITH {_E} SELECT e.key, round(list_cosine_distance(e.v, q.v), 6) AS distance FROM e, (SELECT v FROM e WHERE key = 0) q")
 def knn_k_exceeds_n(spark, d):
     v = _vectors(spark, d)
-    return knn.knn(v, _first_vector(v), 1_000_000)
+    return knn.knn(v, _first_vector(v), v.count() + 1)
 
 
 @query("SELECT vec_id AS key, 0.0::DOUBLE AS distance FROM embeddings WHERE false")

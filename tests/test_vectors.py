@@ -100,6 +100,15 @@ def test_knn_join_equals_single_queries(spark):
     assert knn.knn_join(v, queries.where("false")).count() == 0 and knn.knn_join(v, queries, 0).count() == 0
 
 
+def test_k_exceeds_a_table_of_more_than_a_million(spark, tmp_path):
+    from tessera.plans import registry
+
+    n = 1_000_003
+    rows = spark.range(n).select(F.col("id").alias("vec_id"), F.array((F.col("id") % 7 + 1).cast("float"), F.lit(1.0).cast("float")).alias("embedding"), F.lit(0).alias("label"))
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert registry.QUERIES["knn_k_exceeds_n"](spark, str(tmp_path)).count() == n
+
+
 def test_index_recall_of_single_queries_at_defaults(spark):
     v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
     queries = v.where("key % 50 = 0")
