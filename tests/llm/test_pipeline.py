@@ -1,12 +1,15 @@
 from __future__ import annotations
 
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from tests.conftest import SMALL  # noqa: E402
-from tests.llm.common import empty_docs, odd_docs  # noqa: E402
+from tessera.llm import queries, tokencount  # noqa: E402
+from tests.llm.common import empty_docs, near_components, odd_docs, repeated, words  # noqa: E402
 
 
 def test_stages_keep_the_columns(spark):
@@ -38,3 +41,40 @@ def test_odd_rows_pass(spark):
     none = empty_docs(spark)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SMALL).count() == 0
+
+
+def plain_rows(rows):
+    """Rows (doc_id, text) by brute force: one of each near-duplicate group, then recurring passages out."""
+    groups, sizes = near_components(list(range(len(rows))), [r[1] for r in rows])
+    best = {}
+    for i, (doc, _) in enumerate(rows):
+        key = (groups[i],) if sizes[i] else ("id", doc) if doc is not None else ("row", i)
+        if key not in best or (doc is None, doc or 0) < (rows[best[key]][0] is None, rows[best[key]][0] or 0):
+            best[key] = i
+    left = [rows[i] for i in best.values()]
+    split = [words(t) for _, t in left]
+    gone = repeated(split)
+    return left, [(doc, " ".join(w for w, x in zip(own, out) if not x) if any(out) else t) for (doc, t), own, out in zip(left, split, gone)]
+
+
+@pytest.mark.parametrize("odd", [True, False])
+def test_last_stages_equal_brute_force(spark, odd):
+    docs = odd_docs(spark) if odd else spark.read.parquet(f"{SMALL}/documents.parquet")
+    if not odd:  # repeated rows and copies of null doc_id
+        some = docs.where("doc_id % 10 = 0")
+        docs = docs.unionByName(some).unionByName(some.selectExpr("cast(null as long) as doc_id", *some.columns[1:]))
+    left, cut = plain_rows([(r.doc_id, r.text) for r in docs.collect()])
+    one = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL)
+    assert Counter((r.doc_id, r.text) for r in one.collect()) == Counter(left)
+    rest = corpus_pipeline.cut_repeats(spark, one, SMALL)
+    assert Counter((r.doc_id, r.text) for r in rest.collect()) == Counter(cut)
+    t = tokencount.load(queries.tokenizer_path("byte_bpe_50k.json"))
+    ids = defaultdict(list)
+    for doc, text in cut:
+        ids[doc].append(np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4"))
+    got = Counter()
+    for r in corpus_pipeline.pack(spark, rest, SMALL).collect():
+        crcs = {zlib.crc32(x[r.start : r.start + r.length].tobytes()) for x in ids[r.doc_id] if len(x) == r.doc_tokens}
+        assert r.ids_crc32 in crcs
+        got[r.doc_id] += r.length
+    assert got == {doc: sum(map(len, own)) for doc, own in ids.items()}
