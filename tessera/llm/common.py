@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 
 _made: list[str] = []
+_tables: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which the whole cluster sees.
 
-    Only where the setting is absent (a local session, as in tests) a temporary folder stands in.
+    Only in a local session (as in tests) where the setting is absent does a temporary folder stand in.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster sees")
         base = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
@@ -45,13 +48,22 @@ def _delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Has the driver look for shuffles that nothing refers to any more, so that their files go now.
+def dealt(df: DataFrame, key: str, n: int) -> DataFrame:
+    """df, written to the shared folder as a table in n buckets of key, and read back.
 
-    Without it they stay until the driver's memory happens to be collected.
+    Joins on key (with written(), so that its side is a plain exchange) then don't shuffle its rows. Keys should be
+    unique, so that no bucket is hot. The table has columns c0, c1 ... besides the key, so any names will do.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/dealt"
+    name = f"tessera_{uuid.uuid4().hex}"
+    rest = [c for c in df.columns if c != key]
+    plain = df.select(F.col(key).alias("k"), *[df[c].alias(f"c{i}") for i, c in enumerate(rest)])
+    plain.repartition(n, "k").write.bucketBy(n, "k").option("path", path).saveAsTable(name)
+    _made.append(path)
+    _tables.append(name)
+    held = spark.table(name)
+    return held.select(F.col("k").alias(key), *[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)])
 
 
 def discard(df: DataFrame) -> None:
@@ -64,6 +76,8 @@ def discard(df: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Deletes all tables that written() made in this process. Call it when the operators' results have been
     written or collected; results not yet computed can't be read afterwards."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while _made:
         _delete(spark, _made.pop())
 

@@ -129,21 +129,23 @@ def remainder():
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
 
 
-def train(docs: DataFrame, per_language: int = 400, max_chars: int = 30_000) -> LanguageFilters:
-    """Learns from about `per_language` texts (of at most max_chars) of each language that aren't held out.
+def train(docs: DataFrame, per_language: int = 400, max_chars: int = 30_000, max_languages: int = 256) -> LanguageFilters:
+    """Learns from about `per_language` different texts (of at most max_chars) of each language that aren't held out.
 
-    The sample is drawn by a hash of doc_id at a rate per language, so its size is bounded by
-    per_language times the number of languages however large docs is.
+    The sample is drawn by a hash of doc_id and text at a rate per language; rows of one text count once. Only the
+    `max_languages` most frequent values of lang are learned, so what reaches the driver (1.5 * per_language *
+    max_languages texts at most) and the broadcast filters (8 MB for every 64 languages) are bounded however
+    large docs is.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (remainder() != 2) & (F.length("text") <= max_chars)).select(F.col("doc_id").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    totals = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    totals = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
     if not totals:
         return LanguageFilters()
-    spot = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for lang, n in totals.items():
-        chosen = chosen | ((F.col("lang") == lang) & (spot < int((1 << 30) * min(1.0, per_language / n))))
-    rows = sorted(known.where(chosen).collect(), key=lambda r: (r["lang"], r["doc_id"], r["text"]))
+    spot = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("language")), F.lit(1 << 30))
+    rates = F.create_map(*[x for lang, n in totals.items() for x in (F.lit(lang), F.lit(int((1 << 30) * min(1.0, per_language / n))))])
+    chosen = known.where(spot < F.coalesce(F.try_element_at(rates, F.col("lang")), F.lit(0))).select("lang", "text").distinct()
+    rows = chosen.orderBy(F.xxhash64("lang", "text"), "lang", "text").limit(per_language * max_languages * 3 // 2).collect()
+    rows.sort(key=lambda r: (r["lang"], r["text"]))
     return fit_filters([r["text"] for r in rows], [r["lang"] for r in rows], totals)
 
 

@@ -22,6 +22,7 @@ from tessera.llm import textkernel as tk
 SYMBOLS = b"#*$%&|<>"
 N_FEATURES = 12
 CONTENT, BOILERPLATE = 1, 0
+PIECE = 16
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double, n_lines long, n_content_lines long"
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -97,10 +98,9 @@ class Lines:
         starts, ends, text, w0, w1 = starts[full], ends[full], text[full], w0[full], w1[full]
         self.first = np.searchsorted(text, np.arange(n + 1))
         self.n_words = w1 - w0
-        whole = tk.byte_hash(data, starts, ends)
-        key = tk.mix(whole + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        seen, index = np.unique(key, return_index=True)
-        self.duplicate = np.ones(len(key), dtype=bool)
+        number, distinct = tk.codes(tk.spans(data, starts, ends))
+        _, index = np.unique(text * max(1, len(distinct)) + number, return_index=True)
+        self.duplicate = np.ones(len(starts), dtype=bool)
         self.duplicate[index] = False
         self._features = lambda: self._make(data, starts, ends)
 
@@ -138,7 +138,7 @@ def measure(column: pa.Array, field: LineField, min_share: float, min_words: int
     if size >= window:
         whole = np.flatnonzero(w.whole(window))
         text = w.text_of()
-        keys = tk.mix(tk.window_hash(w.hashes, window)[whole] + text[whole].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        keys = tk.window_codes(w.codes, window)[whole] * n + text[whole]
         flags = np.zeros(size, dtype=bool)
         flags[whole] = tk.group_counts(keys) > 1
         repeat = tk.per_text(tk.covered(flags, window, size), w.first)
@@ -158,12 +158,14 @@ def fit_field(texts: list[str], good: list[bool], steps: int = 150, rate: float
 
     A clean text holds no boilerplate line; of a bad one only lines unlike those of clean texts should
     count, so labels are refined once: lines of bad texts that the first fit takes for content become content.
+    Chains of more than PIECE lines are fitted in pieces, since each step of the fit takes time by the longest.
     """
     if not texts or all(good) or not any(good):
         return DEFAULT_FIELD
     lines = Lines(pa.array(texts, pa.large_string()))
-    features, first = lines.features, lines.first
-    good_line = np.repeat(np.array(good, dtype=bool), np.diff(first))
+    features = lines.features
+    good_line = np.repeat(np.array(good, dtype=bool), np.diff(lines.first))
+    first = np.unique(np.concatenate([lines.first, *(np.arange(a, b, PIECE) for a, b in zip(lines.first[:-1], lines.first[1:]) if b - a > PIECE)]))
     labels = np.where(good_line, CONTENT, BOILERPLATE)
     field = _ascend(features, first, labels, steps, rate, ridge)
     refined = np.where(good_line, CONTENT, field.decode(features, first))
@@ -214,23 +216,23 @@ def _ascend(features: np.ndarray, first: np.ndarray, labels: np.ndarray, steps:
     return LineField(emission, transition)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 1500, max_chars: int = 40_000) -> LineField:
-    """Fits the field on at most about `sample_rows` labelled texts of at most `max_chars` characters each.
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 1500, max_chars: int = 40_000, max_lines: int = 400) -> LineField:
+    """Fits the field on at most `sample_rows` different labelled texts of at most `max_chars` characters and
+    `max_lines` lines each.
 
-    The sample is drawn by a hash of doc_id, so every run draws the same rows. The bound keeps the
-    driver's share fixed however large the tables are.
+    The sample is drawn by a hash of doc_id and text, so every run draws the same texts and a doc_id of many rows
+    brings no more than its share. The bounds keep the driver's share fixed however large the tables are.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("_quality"))
     total = known.count()
     if not total:
         return DEFAULT_FIELD
     spot = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(1 << 30))
-    picked = known.where(spot < int((1 << 30) * min(1.0, sample_rows / total)))
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    if total > sample_rows:
-        texts = texts.where(spot < int((1 << 30) * min(1.0, sample_rows / total)))
-    rows = texts.join(picked, "doc_id").select("doc_id", "text", "_quality").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
+    rate = int((1 << 30) * min(1.0, 1.2 * sample_rows / total))
+    breaks = F.length("text") - F.length(F.translate("text", "\n", ""))
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars) & (breaks < max_lines))
+    rows = texts.where(spot < rate).join(known.where(spot < rate), "doc_id").select("doc_id", "text", "_quality").distinct()
+    rows = rows.withColumn("_spot", F.xxhash64("doc_id", "text", F.lit("quality"))).orderBy("_spot", "doc_id", "text").limit(sample_rows).collect()
     return fit_field([r["text"] for r in rows], [r["_quality"] > 0 for r in rows])
 
 

@@ -8,6 +8,8 @@ a slice of its own.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 
@@ -17,26 +19,7 @@ SLICE_BYTES = 1 << 20
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
-_BYTE_BASE = 0x9E3779B97F4A7C15
-_WORD_BASE = 0xD6E8FEB86659FD93
-_BYTE_CODES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept and grown between calls."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(10, int(n - 1).bit_length())
-        have = np.ones(size, dtype=U64)
-        k, step = 1, base
-        while k < size:
-            have[k : 2 * k] = have[:k] * U64(step)
-            step = step * step % 2**64
-            k *= 2
-        if size <= 1 << 23:
-            _powers[base] = have
-    return have[:n]
+_KEY = b"words of a text"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,25 +29,68 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hash of values[start:end] for each span, from one prefix sum."""
-    sums = np.zeros(len(values) + 1, dtype=U64)
-    np.cumsum(values * powers(base, len(values)), out=sums[1:])
-    back = powers(pow(base, -1, 2**64), len(values) + 1)
-    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(U64))
-
-
-def byte_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(_BYTE_CODES[data], starts, ends, _BYTE_BASE)
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in order. It isn't linear, so no relation between texts carries over to their hashes."""
+    return mix(mix(a + U64(0x9E3779B97F4A7C15)) ^ (b * U64(0xD6E8FEB86659FD93) + U64(0x2545F4914F6CDD1D)))
+
+
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """data[start:end] of each span as binary values. Spans come in order and don't overlap."""
+    edge = np.zeros(len(data) + 1, dtype=np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    body = data[np.cumsum(edge[:-1], dtype=np.int8) > 0]
+    offsets = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+
+
+def codes(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """For each value the place of its like in the array of distinct values, and that array. Exact."""
+    coded = values.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def digests(distinct: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each large_binary value: its bytes as two numbers, paired, up to 16 bytes; else keyed BLAKE2."""
+    data, offsets = text_buffers(distinct)
+    n, size = len(distinct), np.diff(offsets)
+    out = np.zeros(n, dtype=U64)
+    short = np.flatnonzero(size <= 16)
+    padded = np.concatenate([data, np.zeros(16, np.uint8)])
+    at = np.arange(16)
+    held = padded[offsets[short][:, None] + at] * (at < size[short][:, None])
+    both = np.ascontiguousarray(held.astype(np.uint8)).view("<u8")
+    out[short] = pair(pair(both[:, 0] + U64(0x5BD1E9955BD1E995), both[:, 1]), size[short].astype(U64))
+    raw = data.tobytes() if len(short) < n else b""
+    for i in np.flatnonzero(size > 16).tolist():
+        out[i] = int.from_bytes(blake2b(raw[offsets[i] : offsets[i + 1]], digest_size=8, key=_KEY).digest(), "little")
+    return out
+
+
+def _runs(level: np.ndarray, size: int, join) -> np.ndarray:
+    """One number for each run of `size` numbers, from numbers of runs of 1, 2, 4 ... by join(left, right)."""
+    n, have, at, rest, out = len(level) - size + 1, 1, 0, size, None
+    if n <= 0:
+        return level[:0]
+    while rest:
+        if rest & 1:
+            piece = level[at : at + n]
+            out, at = piece if out is None else join(out, piece), at + have
+        rest >>= 1
+        if rest:
+            level, have = join(level[:-have], level[have:]), 2 * have
+    return out
 
 
 def window_hash(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     """Hash of each run of `size` word hashes; shorter by size - 1 than words."""
-    n = len(words) - size + 1
-    if n <= 0:
-        return np.zeros(0, dtype=U64)
-    starts = np.arange(n)
-    return span_hash(mix(words + U64(salt)) if salt else words, starts, starts + size, _WORD_BASE)
+    return _runs(mix(words + U64(salt)), size, pair)
+
+
+def window_codes(words: np.ndarray, size: int) -> np.ndarray:
+    """A number for each run of `size` word codes, the same for equal runs and no others (below 2**31 words)."""
+    return _runs(words, size, lambda a, b: np.unique(a << 32 | b, return_inverse=True)[1])
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +122,8 @@ class Words:
     """Word spans of the texts of a column, in order.
 
     starts, ends: byte spans; first: first word of each text (len + 1);
-    hashes: a 64-bit hash of each word, made when asked for.
+    hashes: a keyed 64-bit hash of each word; codes: an exact number of each word within the column. Both are
+    made when asked for, with one look at each distinct word.
     """
 
     def __init__(self, column: pa.Array, lower: bool = False):
@@ -117,11 +144,22 @@ class Words:
         self.ends = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.starts, offsets)
         self._hashes: np.ndarray | None = None
+        self._codes: np.ndarray | None = None
+
+    def _encode(self) -> None:
+        if self._codes is None:
+            self._codes, self._distinct = codes(spans(self.data, self.starts, self.ends))
+
+    @property
+    def codes(self) -> np.ndarray:
+        self._encode()
+        return self._codes
 
     @property
     def hashes(self) -> np.ndarray:
         if self._hashes is None:
-            self._hashes = byte_hash(self.data, self.starts, self.ends)
+            self._encode()
+            self._hashes = digests(self._distinct)[self._codes] if len(self._codes) else np.zeros(0, dtype=U64)
         return self._hashes
 
     @property
