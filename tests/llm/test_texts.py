@@ -62,11 +62,62 @@ def test_substrings_in_random_mixtures(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
-def test_locate_shards_automata(monkeypatch):
-    monkeypatch.setattr(substrings, "SHARD_CHARS", 10)
-    texts = [b"a b c d".split(), b"b c x b c d".split(), "é b c".encode().split(), []]
-    found = substrings.locate(texts, [(0, 1, 3), (1, 3, 6), (2, 0, 2)])
-    assert [f.tolist() for f in found] == [[False, True, True, True], [True, True, False, True, True, True], [True, True, True], []]
+def test_passages_in_several_automata(monkeypatch):
+    monkeypatch.setattr(substrings, "SHARD_WORDS", 3)
+    p = substrings.Passages()
+    p.add(1, 1, b"b c".split())
+    p.add(1, 3, b"b c d".split())
+    p.add(2, 0, "é b c".encode().split())
+    assert len(p._automata) == 2
+    assert p.locate(1, 0, b"a b c x".split()) == [] and p.sources() == []
+    assert substrings._joined(p.locate(1, 10, b"b c x b c d".split())) == [(10, 12), (13, 16)]
+    assert substrings._joined(p.locate(3, 0, "é b c".encode().split())) == [(0, 3)]
+    assert p.sources() == [(1, 1, 3), (1, 3, 6), (2, 0, 3)]
+
+
+def test_only_matches_of_the_automata_remove(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"u{i} {passage} v{i}") for i in range(5)], "doc_id long, text string")
+    done = lambda: [r.n_removed for r in substrings.remove_repeats(docs).collect()]
+    assert done() == [60] * 5
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(substrings)  # so that the workers see the change
+    try:
+        monkeypatch.setattr(substrings.Passages, "locate", lambda *_: [])
+        assert done() == [0] * 5
+    finally:
+        cloudpickle.unregister_pickle_by_value(substrings)
+
+
+@pytest.mark.parametrize("parts", [3, 20_000])
+def test_hot_passages_in_shards_of_their_own(spark, monkeypatch, parts):
+    monkeypatch.setattr(substrings, "SHARD_PARTS", parts)
+    monkeypatch.setattr(substrings, "SHARD_WORDS", 500)
+    rng = random.Random(7)
+    line = [f"line{i}" for i in range(50)]
+    texts = [[f"a{rng.random()}" for _ in range(rng.randrange(50))] + line[rng.randrange(8) :] + [f"b{rng.random()}" for _ in range(rng.randrange(50))] for _ in range(60)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.kept_text for r in substrings.remove_repeats(df).collect()}
+    assert got == {i: " ".join(w for w, x in zip(t, g) if not x) for i, (t, g) in enumerate(zip(texts, repeated(texts)))}
+
+
+def thue_morse(n, a, b):
+    return [(a, b)[bin(i).count("1") % 2] for i in range(n)]
+
+
+def test_sequences_on_which_linear_hashes_collide(spark):
+    one, other = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    shared = [f"w{i}" for i in range(34)]
+    rows = [(0, " ".join([*shared, "".join(one)])), (1, " ".join([*shared, "".join(other)])), (2, "".join(one)), (3, "".join(other)), (4, "".join(one) + "\n" + "".join(other)), (5, " ".join(one)), (6, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    split = [words(t) for _, t in rows]
+    got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(docs).collect()}
+    assert got == {i: sum(g) for i, g in enumerate(repeated(split))} and got[0] == got[1] == 0
+    assert {r.doc_id: r.n_dup_lines for r in quality.quality(docs).collect()} == dict.fromkeys(range(7), 0)
+    same = {r.doc_id: (r.component_id, r.n_shingles) for r in neardup.near_duplicates(docs).collect()}
+    want, sizes = near_components(list(range(7)), [t for _, t in rows])
+    assert same == {i: (want[i], sizes[i]) for i in range(7)} and same[2][0] != same[3][0]
 
 
 def brute_quality(text):
@@ -194,9 +245,23 @@ def test_one_row_of_a_group_is_kept(spark):
         assert {(r.doc_id, r.text) for r in substrings.rewrite(kept).collect() if r.text} == set(worded)
 
 
-@pytest.mark.parametrize(("block", "held"), [(256, 1 << 24), (7, 1 << 24), (256, 9000)])
-def test_near_duplicates_in_families(spark, monkeypatch, block, held):
+def test_a_shared_footer_costs_few_comparisons(spark):
+    footer = [f"foot{i}" for i in range(40)]
+    texts = [(i, " ".join([f"t{i}x{j}" for j in range(170)] + footer)) for i in range(3000)]
+    rows = neardup._numbered(spark.createDataFrame(texts, "doc long, text string"), "node")
+    sketches = neardup.sketch(rows)
+    none = spark.createDataFrame([], "node long, component long")
+    groups = neardup.mixed_groups(sketches, none).selectExpr("n_out").collect()
+    compared = neardup.mixed_groups(sketches, none).selectExpr("sum(case when out then n end)").first()[0] or 0
+    assert compared < 30 * len(texts), (compared, len(groups))  # a comparison is 64 bytes of bit counts
+    assert neardup._leader_pairs(sketches, 75).count() == 0 and neardup._forests(sketches, neardup.mixed_groups(sketches, none), 75).count() == 0
+
+
+@pytest.mark.parametrize(("block", "held", "refine"), [(256, 1 << 24, 4096), (7, 1 << 24, 2), (256, 9000, 10)])
+def test_near_duplicates_in_families(spark, monkeypatch, block, held, refine):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "GRID", block)
+    monkeypatch.setattr(neardup, "REFINE", refine)
     monkeypatch.setattr(neardup, "BLOCK_BYTES", held)
     rng = random.Random(3)
     texts = []
