@@ -59,6 +59,7 @@ def dealt(df: DataFrame, key: str, n: int) -> DataFrame:
     name = f"tessera_{uuid.uuid4().hex}"
     rest = [c for c in df.columns if c != key]
     plain = df.select(F.col(key).alias("k"), *[df[c].alias(f"c{i}") for i, c in enumerate(rest)])
+    n = min(n, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
     plain.repartition(n, "k").write.bucketBy(n, "k").option("path", path).saveAsTable(name)
     _made.append(path)
     _tables.append(name)

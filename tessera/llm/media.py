@@ -3,11 +3,13 @@
 A text's bytes, padded with zeros to a positive multiple of 64, are the samples of an 8-bit mono WAV file.
 The samples are cut where a gear hash of the last 32 bytes has its low bits zero, so equal passages give
 equal chunks wherever they lie. A chunk whose digest occurs once stays in its file's container; the others
-are pooled, one copy of each, and containers list their digests in order. Reading back joins containers to
-the pool, verifies every chunk and puts the file together.
+are pooled, one copy of each, and containers list their digests in order. One pass writes containers and what goes
+to the pool to the shared folder. Reading back takes stored files only: it joins containers to the pool, verifies
+every chunk and puts the file together.
 
 Which chunks to pool is asked of a Bloom filter of the digests that occur twice, of at most FILTER_BITS. It
-only spares shuffles: a chunk it takes for shared by mistake is pooled too, and read back like the others.
+only spares shuffles: a chunk it takes for shared by mistake is pooled too, and read back like the others. From
+about FILTER_BITS / 12 shared chunks on (11 million) such mistakes, and with them the shuffled bytes, grow.
 
 Defined results: null and empty text is a payload of 64 zeros; equal texts give equal values; an empty
 table gives an empty result; other columns are not looked at. Whole texts are stored.
@@ -29,7 +31,7 @@ from tessera.llm import textkernel as tk
 from tessera.llm.common import written
 
 LEAST, MOST, MASK = 256, 4096, (1 << 10) - 1
-UNIT, RATE, FILTER_BITS = 64, 8000, 1 << 24
+UNIT, RATE, FILTER_BITS, SEEN = 64, 8000, 1 << 27, 100_000
 CONTAINER = "doc_id long, content binary, n_bytes long, header binary, digests array<binary>, bodies array<binary>"
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 _GEAR = np.random.Generator(np.random.PCG64(77)).integers(0, 2**32, 256, dtype=np.uint32)
@@ -124,43 +126,45 @@ def _held(words: np.ndarray, heads: np.ndarray) -> np.ndarray:
 
 
 def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Containers (CONTAINER; a body is null where its chunk is pooled) and the pool (digest, body), which is written."""
+    """Containers (CONTAINER; a body is null where its chunk is pooled) and the pool (digest, body), as stored."""
     shared = docs.sparkSession.sparkContext.broadcast(shared_filter(docs))  # FILTER_BITS at most
-
-    def cut(part: pa.RecordBatch):
-        payloads = [padded((t or "").encode()) for t in part.column(1).to_pylist()]
-        own = [chunks(p) for p in payloads]
-        digests = [[digest(c) for c in cs] for cs in own]
-        heads = np.frombuffer(b"".join(d[:8] for ds in digests for d in ds), np.int64)
-        return payloads, own, digests, _held(shared.value, heads).tolist()
+    schema = f"{CONTAINER}, digest binary, body binary"
 
     def contain(batches):
-        pack = zstandard.ZstdCompressor(1).compress
+        pack, seen = zstandard.ZstdCompressor(1).compress, set()
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                payloads, own, digests, pooled = cut(part)
+                payloads = [padded((t or "").encode()) for t in part.column(1).to_pylist()]
+                own = [chunks(p) for p in payloads]
+                digests = [[digest(c) for c in cs] for cs in own]
+                heads = np.frombuffer(b"".join(d[:8] for ds in digests for d in ds), np.int64)
+                pooled = iter(_held(shared.value, heads).tolist())
+                bodies, pool = [], {}
+                for cs, ds in zip(own, digests):
+                    bodies.append([])
+                    for c, d in zip(cs, ds):
+                        if next(pooled):
+                            bodies[-1].append(None)
+                            if d not in seen:
+                                if len(seen) >= SEEN:
+                                    seen.clear()
+                                seen.add(d)
+                                pool[d] = pack(c)
+                        else:
+                            bodies[-1].append(pack(c))
                 _, offsets = tk.text_buffers(part.column(1))
-                bodies, k = [], 0
-                for cs in own:
-                    bodies.append([None if pooled[k + i] else pack(c) for i, c in enumerate(cs)])
-                    k += len(cs)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([digest(p) for p in payloads], pa.binary()), pa.array(np.diff(offsets)), pa.array([wav_header(len(p)) for p in payloads], pa.binary()),
-                     pa.array(digests, pa.list_(pa.binary())), pa.array(bodies, pa.list_(pa.binary()))],
-                    names=[f.split()[0] for f in CONTAINER.split(", ")],
-                )
-
-    def gather(batches):
-        pack = zstandard.ZstdCompressor(1).compress
-        for batch in batches:
-            for part in tk.slices(batch, "text"):
-                _, own, digests, pooled = cut(part)
-                found = {d: c for d, c, p in zip((d for ds in digests for d in ds), (c for cs in own for c in cs), pooled) if p}
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([pack(c) for c in found.values()], pa.binary())], names=["digest", "body"])
-
-    texts = _texts(docs)
-    pool = written(texts.mapInArrow(gather, "digest binary, body binary").groupBy("digest").agg(F.first("body").alias("body")), "pool")
-    return texts.mapInArrow(contain, CONTAINER), pool
+                n, m = part.num_rows, len(pool)
+                whole = [
+                    part.column(0), pa.array([digest(p) for p in payloads], pa.binary()), pa.array(np.diff(offsets)), pa.array([wav_header(len(p)) for p in payloads], pa.binary()),
+                    pa.array(digests, pa.list_(pa.binary())), pa.array(bodies, pa.list_(pa.binary())),
+                ]
+                columns = [pa.concat_arrays([c, pa.nulls(m, c.type)]) for c in whole]
+                columns += [pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(x, pa.binary())]) for x in (list(pool), list(pool.values()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in schema.split(", ")])
+
+    media = written(_texts(docs).mapInArrow(contain, schema), "media")
+    pool = written(media.where("digest is not null").groupBy("digest").agg(F.first("body").alias("body")), "pool")
+    return media.where("digests is not null").drop("digest", "body"), pool
 
 
 def _read(rows: DataFrame) -> DataFrame:

@@ -3,14 +3,16 @@
 Texts become token ids with an end id, and are dealt to shards of bounded size by a hash. In a shard every
 source is a queue. Each window credits every source with its target share of tokens; sources are visited in
 turn and serve tokens against their credit, and what a source lacks or has had too much is carried to the
-next window. What the shards before have left open, by counts of tokens, is where a shard's credits start, so
-deficits pass from partition to partition without one waiting for another.
+next window. Where a shard's credits start is what the shards before it have had too little or too much of a source
+against its share of all tokens, by counts of tokens, so deficits pass from partition to partition without one waiting
+for another. A quarter of what a window owes a source is carried at most, so the shard's first window settles it and no
+source is missing from a window for what other shards held.
 
 A text is cut wherever a window or a turn ends. Windows are full; the rest of a shard goes to sequences of a
 power of two each, so there is no padding at all.
 
 Defined results: null and empty text is its end id alone; null source is a queue of its own; equal rows are
-packed each; an empty table gives an empty result. Whole texts are packed.
+packed each, and more than COPIES of one go to several shards; an empty table gives an empty result. Whole texts are packed.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from tessera.llm.common import written
 WINDOW = 2048
 SHARD_TOKENS = 2_000_000
 SEQUENCES = 1 << 32
-BUCKET = 1024
+BUCKET, COPIES = 1024, 1000
 SCHEMA = "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, ids binary"
 
 
@@ -74,7 +76,10 @@ def _quantum(rest: int, credit: list[float], shares: list[float]) -> float:
 def deal(queues: list[list[int]], lengths: list[int], shares: list[float], credit: list[float], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
     """Pieces (row, start, length, sequence, offset). queues: rows of each source in order; shares: tokens a
     source is due of each token dealt; credit: tokens it is due at the start."""
-    credit, live = list(credit), [i for i, q in enumerate(queues) if q]
+    live = [i for i, q in enumerate(queues) if q]
+    # what is carried in must balance, or the windows would never settle it
+    over, whole = sum(credit[i] for i in live), sum(shares[i] for i in live) or 1.0
+    credit = [c - over * s / whole for c, s in zip(credit, shares)]
     head, at = [0] * len(queues), [0] * len(queues)
     out: list[tuple[int, int, int, int, int]] = []
     turn = 0
@@ -111,11 +116,19 @@ def deal(queues: list[list[int]], lengths: list[int], shares: list[float], credi
     return out
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, targets: dict[str, float] | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Pieces of all texts in sequences, columns of SCHEMA. targets: weight of each source; its own share of tokens if none."""
+def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, targets: dict[str, float] | None = None, others: float = 0.0, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """Pieces of all texts in sequences, columns of SCHEMA.
+
+    targets: weight of each source's tokens in a window, `others` that of each source not named; its own share of all
+    tokens if there are no targets. A source is in every window as long as it has tokens in the shard.
+    """
     spot = F.xxhash64("doc_id", "n", F.crc32("ids"))
     queue = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # not null, so that it can be joined
-    held = written(tokenize(docs, path, end_id).withColumn("spot", spot).withColumn("queue", queue), "tokens")
+    held = written(tokenize(docs, path, end_id).withColumn("spot", spot).withColumn("queue", queue).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    copied = written(held.groupBy("spot").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > COPIES), "copied")
+    if not copied.isEmpty():  # what so many equal rows share must not bring them to one shard
+        held = held.join(copied, "spot", "left").withColumn("spot", F.when(F.col("copies").isNull(), F.col("spot")).otherwise(F.xxhash64("spot", "row")))
+    held = held.select("doc_id", "source", "n", "ids", "spot", "queue")
     every = held.agg(F.sum("n").alias("t")).first()["t"] or 0
     n_shards = max(1, math.ceil(every / shard_tokens))
     shard = F.pmod("spot", F.lit(n_shards)).cast("int")
@@ -123,15 +136,16 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW, targ
     totals = counts.groupBy("queue").agg(F.sum("tokens").alias("all_tokens"))
     if targets:
         known = F.create_map(*[x for k, v in sorted(targets.items()) for x in (F.lit(f"={k}"), F.lit(float(v)))])
-        weight = F.coalesce(F.try_element_at(known, F.col("queue")), F.lit(0.0))
+        weight = F.coalesce(F.try_element_at(known, F.col("queue")), F.lit(float(others)))
     else:
         weight = F.col("all_tokens").cast("double")
     whole = totals.agg(F.sum(weight).alias("w")).first()["w"] or 1.0
-    shares = totals.select("queue", (weight / F.lit(whole)).alias("share"))
+    shares = totals.select("queue", (weight / F.lit(whole)).alias("share"), (F.col("all_tokens") / F.lit(max(1, every))).alias("own_share"))
     of_shard = counts.groupBy("shard").agg(F.sum("tokens").alias("shard_tokens"))
     dealt_before = _before(of_shard, [], "shard_tokens", "dealt")
     served_before = _before(counts, ["queue"], "tokens", "served")
-    credits = served_before.join(shares, "queue").join(dealt_before, "shard").select("shard", "queue", "share", (F.col("share") * F.col("dealt") - F.col("served")).alias("credit"))
+    most, open_ = F.col("share") * (window / 4), F.col("own_share") * F.col("dealt") - F.col("served")
+    credits = served_before.join(shares, "queue").join(dealt_before, "shard").select("shard", "queue", "share", F.greatest(F.least(open_, most), -most).alias("credit"))
 
     def fill(key, tokens: pa.Table, due: pa.Table) -> pa.Table:
         order = sorted(range(tokens.num_rows), key=lambda k: rank[k]) if (rank := _rank(tokens)) else []

@@ -61,8 +61,12 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.restore(*media.store(table(spark, sf_dir, "documents")))
 
 
+#: The mixture of op6_packing and the pipeline: weights of sources in every window; each other source has 1.
+TARGETS = {"src0": 2.0, "src1": 2.0, "src2": 2.0, "src3": 1.5, "src4": 1.5}
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), targets=TARGETS, others=1.0)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source", "sequence_tokens")
 
 

@@ -1,9 +1,11 @@
 """WARC archives with revisit records.
 
-Headers (id, digest, size; never payloads) are shuffled by payload digest; of equal payloads of at least
+Headers (id, URL, digest, size; never payloads) are shuffled by payload digest; of equal payloads of at least
 LEAST_REVISIT bytes the record with the largest page_id stays a response, the others become revisit
-records that refer to it. Archives are written anew, every record a gzip member with fresh headers; read
-back, revisits are joined to the responses they refer to.
+records that refer to it. Revisits are written from their headers. Responses are written where their payloads lie: up to
+MOST_TOLD revisits (about 100 bytes each) are broadcast for the scan to leave out; only beyond that is the scan joined
+to them by a shuffle. Archives are written anew, every record a gzip member with fresh headers; read back, revisits
+are joined to the responses they refer to.
 
 Defined results: null html is an empty payload; null url gives no target URI; a null page_id is smaller
 than any other and revisits like it, and where all are null each is a response; rows that share the largest
@@ -25,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkernel as tk
-from tessera.llm.common import row_key, written
+from tessera.llm.common import written
 
 LEAST_REVISIT = 1000
 ARCHIVE_BYTES = 4 << 20
+MOST_TOLD = 300_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVES = "archive string, n_records long, data binary"
 RECORDS = "page_id long, record_id string, record_type string, refers_to_id string, target_uri string, payload binary, payload_bytes long, payload_digest string, sound boolean"
@@ -45,9 +48,9 @@ def _uri(url: str) -> str:
     return quote(url, safe="%/:=&?~#+!$,;'@()*[]|")
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, original: int | None, original_url: str | None, date: str) -> bytes:
-    """One record; a revisit if original is given."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+def make_record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, original: int | None, original_url: str | None, date: str) -> bytes:
+    """One record; a revisit, which needs no payload, if original is given."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = http if original is not None else http + payload
     lines = ["WARC/1.1", f"WARC-Type: {'response' if original is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {date}"]
     if url is not None:
@@ -77,12 +80,11 @@ def parse_records(data: bytes):
 
 
 def resolve(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """_key of each page that is a revisit, with the page_id and url of its original."""
-    heads = pages.where(F.col("_size") >= least).select("_key", "page_id", "url", "_digest")
+    """Headers of the pages that are revisits, with the page_id and url of their originals."""
+    heads = pages.where(F.col("_size") >= least).select("page_id", "url", "_size", "_digest")
     # written before the join, so that it can split a digest with very many rows
     originals = written(heads.groupBy("_digest").agg(F.max("page_id").alias("_original"), F.max_by("url", "page_id").alias("_original_url"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _original is not null").drop("_n"), "originals")
-    revisits = heads.join(originals, "_digest").where(~F.col("page_id").eqNullSafe(F.col("_original")))
-    return revisits.select("_key", F.col("page_id").alias("_page"), F.col("_digest").alias("_same"), "_original", "_original_url").distinct()
+    return heads.join(originals, "_digest").where(~F.col("page_id").eqNullSafe(F.col("_original")))
 
 
 def write_archives(pages: DataFrame, least: int = LEAST_REVISIT, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -93,10 +95,17 @@ def write_archives(pages: DataFrame, least: int = LEAST_REVISIT, date: str = "20
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), payload.alias("_payload"))
-    rows = rows.withColumn("_digest", F.sha1("_payload")).withColumn("_size", F.octet_length("_payload")).withColumn("_key", row_key("page_id", "_digest"))
-    found = resolve(rows, least).withColumnRenamed("_key", "_told")
-    same = (F.col("_key") == F.col("_told")) & F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("_digest") == F.col("_same"))
-    told = rows.join(found, same, "left").select("page_id", "url", "_payload", "_digest", "_original", "_original_url")
+    rows = rows.withColumn("_digest", F.sha1("_payload")).withColumn("_size", F.octet_length("_payload").cast("long"))
+    columns = ["page_id", "url", "_payload", "_size", "_digest", "_original", "_original_url"]
+    found = written(resolve(rows, least).withColumn("_payload", F.lit(None).cast("binary")).select(*columns), "revisits")
+    gone = found.select(F.col("page_id").alias("_page"), F.col("_digest").alias("_same")).distinct()
+    if found.count() <= MOST_TOLD:
+        gone = F.broadcast(gone)
+    else:
+        gone = written(gone, "gone")
+    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("_digest") == F.col("_same"))
+    left = rows.join(gone, same, "left_anti").withColumn("_original", F.lit(None).cast("long")).withColumn("_original_url", F.lit(None).cast("string"))
+    told = left.select(*columns).unionByName(found)
 
     def work(batches):
         held: list[bytes] = []
