@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import langid, neardup, packing, quality, substrings
 from tessera.llm.common import table, written
-from tessera.llm.queries import tokenizer_path
+from tessera.llm.queries import TARGETS, tokenizer_path
 
 #: Some stages look at what no SQL dialect expresses (a chain field, filters, a tokenizer).
 ORACLE_SQL = None
@@ -38,8 +38,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all texts in full sequences, sources in proportion."""
-    packed = packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+    """Pieces of all texts in full sequences, sources in the proportions of TARGETS."""
+    packed = packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), targets=TARGETS, others=1.0)
     return packed.select("doc_id", "source", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens")
 
 
