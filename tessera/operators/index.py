@@ -5,12 +5,14 @@ The graph parameters of the store's own index are taken for compatibility and ha
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.errors import invalid
 from tessera.functions.vectors import parse_metric
@@ -18,9 +20,13 @@ from tessera.operators.knn import DIGITS, distances
 from tessera.schema import extended
 
 
+MOST_CELLS = 4096
+
+
 @dataclass(frozen=True)
 class IndexConfig:
-    """m, ef_construction, ef_search, max_layers: accepted, unused. sample: rows that centroids are fitted on."""
+    """m, ef_construction, ef_search, max_layers: accepted, unused. sample: rows that centroids are fitted on.
+    n_cells: 0 for about the square root of the number of vectors, at most MOST_CELLS."""
 
     dimension: int = 128
     metric: str = "cosine"
@@ -34,8 +40,8 @@ class IndexConfig:
     max_layers: int = 16
 
     def __post_init__(self):
-        if self.dimension <= 0 or self.m <= 0 or self.n_cells <= 0:
-            raise invalid("dimension, m and n_cells must be positive")
+        if self.dimension <= 0 or self.m <= 0 or self.n_cells < 0:
+            raise invalid("dimension, m and n_cells must be positive (n_cells may be 0)")
         parse_metric(self.metric)
 
 
@@ -64,6 +70,8 @@ class CellIndex:
         total = rows.count()
         spot = F.pmod(F.xxhash64("key", F.lit(config.seed)), F.lit(1 << 30))
         sampled = rows.where(spot < int((1 << 30) * min(1.0, config.sample / max(1, total)))).orderBy("key").select("vector").toArrow()
+        if not config.n_cells:
+            config = replace(config, n_cells=max(1, min(MOST_CELLS, round(total**0.5))))
         points = np.array(sampled.column("vector").to_pylist(), dtype=np.float64).reshape(-1, config.dimension)
         centres = _centroids(points, config) if len(points) else np.zeros((0, config.dimension))
         held = rows.sparkSession.sparkContext.broadcast(centres)  # n_cells rows
@@ -76,9 +84,22 @@ class CellIndex:
 
         return cls(config, centres, rows.mapInArrow(work, extended(rows.schema, cell="int")))
 
-    def write(self, path: str) -> None:
-        """Cells as a table, a folder each, so that a probe reads only what it needs."""
-        self.cells.write.partitionBy("cell").parquet(path)
+    def write(self, path: str) -> CellIndex:
+        """Writes the index and gives it as read back: cells are a table of a folder each, so that a probe reads only
+        what it needs and no vector's cell is sought again; centres and config are a table of one row."""
+        spark = self.cells.sparkSession
+        self.cells.repartition("cell", F.pmod(F.xxhash64("key"), F.lit(4))).write.partitionBy("cell").parquet(f"{path}/cells")
+        spark.createDataFrame([(json.dumps(asdict(self.config)), self.centres.tolist())], "config string, centres array<array<double>>").coalesce(1).write.parquet(f"{path}/about")
+        return CellIndex.read(spark, path, self.cells.schema)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str, schema: StructType | None = None) -> CellIndex:
+        """An index that write() made, in this session or another."""
+        about = spark.read.parquet(f"{path}/about").first()
+        config = IndexConfig(**json.loads(about["config"]))
+        centres = np.array(about["centres"], dtype=np.float64).reshape(-1, config.dimension)
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        return cls(config, centres, reader.parquet(f"{path}/cells").select("key", "vector", F.col("cell").cast("int").alias("cell")))
 
     def search(self, query, k: int = 10, n_probe: int = 20, deleted: DataFrame | None = None) -> DataFrame:
         """key, distance of the k nearest within the probed cells; deleted keys are dropped first."""

@@ -76,11 +76,12 @@ def _block(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, metr
         if sum(counts):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(np.concatenate(best_k)), pa.array(np.concatenate(best_d))], names=["query_id", "key", "distance"])
 
-    return vectors.select(F.col(key).cast("long"), vector).mapInArrow(work, "query_id long, key long, distance double")
+    return vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), vector).mapInArrow(work, "query_id long, key long, distance double")
 
 
 def knn_join(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", key: str = "key", vector: str = "vector", query_key: str = "key", query_vector: str = "vector", digits: int = DIGITS) -> DataFrame:
-    """For each query its k nearest: query_id, key, distance, rank from 1. Keys are integers.
+    """For each query its k nearest: query_id, key, distance, rank from 1. Keys are integers; a row whose key is null
+    neither asks nor is found.
 
     The queries are a stated set; they are broadcast in blocks of QUERY_BLOCK and held against all vectors,
     of which each task passes on k a query.
@@ -89,6 +90,7 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str =
     empty = "query_id long, key long, distance double, rank int"
     if k <= 0:
         return vectors.sparkSession.createDataFrame([], empty)
+    queries = queries.where(F.col(query_key).isNotNull())
     total = queries.count()
     blocks = max(1, -(-total // QUERY_BLOCK) * 2 if total > QUERY_BLOCK else 1)
     found = None

@@ -9,8 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import micros
@@ -32,38 +31,47 @@ def step(bucket: Bucket | None, at: int, rate: float, burst: float) -> tuple[Buc
     return Bucket(tokens - 1.0 if passed else tokens, at), passed
 
 
-def decisions(requests: DataFrame, rate: float, burst: float, client: str = "client", ts: str = "ts", tie: str = "request_id") -> DataFrame:
-    """requests with `allowed` and `tokens` left.
+def _decide(requests: DataFrame, keys: list[str], ts: str, tie: str, rate: Column, burst: Column) -> DataFrame:
+    """requests with `allowed` and `tokens` left of the bucket of their keys.
 
-    Requests are dealt by client and sorted, and a task carries a bucket from batch to batch: no client is
+    Requests are dealt by their keys and sorted, and a task carries a bucket from batch to batch: no client is
     ever held in memory.
     """
-    rows = requests.withColumn("_at", micros(ts)).repartition(client).sortWithinPartitions(client, ts, tie)
+    rows = requests.withColumn("_at", micros(ts)).withColumn("_rate", rate.cast("double")).withColumn("_burst", burst.cast("double"))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, ts, tie)
     schema = extended(requests.schema, allowed="boolean", tokens="double")
 
     def work(frames):
-        bucket, now, started = None, None, False
+        bucket, now = None, ()
         for pdf in frames:
             allowed, left = np.zeros(len(pdf), bool), np.zeros(len(pdf))
-            for i, (who, at) in enumerate(zip(pdf[client].tolist(), pdf["_at"].tolist())):
-                if not started or not (who == now or (pd.isna(who) and pd.isna(now))):
-                    bucket, now, started = None, who, True
-                bucket, allowed[i] = step(bucket, at, rate, burst)
+            owners = zip(*(pdf[k].astype(object).where(pdf[k].notna(), None).tolist() for k in keys))
+            for i, (who, at, per_second, most) in enumerate(zip(owners, pdf["_at"].tolist(), pdf["_rate"].tolist(), pdf["_burst"].tolist())):
+                if who != now:
+                    bucket, now = None, who
+                bucket, allowed[i] = step(bucket, at, per_second, most)
                 left[i] = bucket.tokens
-            yield pdf.drop(columns="_at").assign(allowed=allowed, tokens=left)
+            yield pdf.drop(columns=["_at", "_rate", "_burst"]).assign(allowed=allowed, tokens=left)
 
     return rows.mapInPandas(work, schema)
 
 
+def decisions(requests: DataFrame, rate: float, burst: float, client: str = "client", ts: str = "ts", tie: str = "request_id") -> DataFrame:
+    """requests with `allowed` and `tokens` left."""
+    return _decide(requests, [client], ts, tie, F.lit(rate), F.lit(burst))
+
+
 def by_endpoint(requests: DataFrame, limits: dict[str, tuple[float, float]], default: tuple[float, float] = (100.0, 200.0)) -> DataFrame:
-    """Decisions of a limiter for each endpoint (its rate and burst in limits); others share `_default`."""
+    """Decisions of a limiter for each endpoint (its rate and burst in limits); others share `_default`.
+
+    All limiters work in one pass, each client having a bucket in each of them.
+    """
     known = F.col("endpoint").isin(*limits) if limits else F.lit(False)
     routed = requests.withColumn("limiter", F.when(known, F.col("endpoint")).otherwise(F.lit("_default")))
-    done = None
-    for name, (rate, burst) in {**limits, "_default": default}.items():
-        part = decisions(routed.where(F.col("limiter") == name), rate, burst)
-        done = part if done is None else done.unionByName(part)
-    return done
+    rate, burst = (F.lit(float(default[i])) for i in (0, 1))
+    for name, limit in limits.items():
+        rate, burst = (F.when(F.col("limiter") == name, float(limit[i])).otherwise(x) for i, x in ((0, rate), (1, burst)))
+    return _decide(routed, ["limiter", "client"], "ts", "request_id", rate, burst)
 
 
 def tokens_left(decided: DataFrame, client: str = "client", ts: str = "ts") -> DataFrame:

@@ -69,10 +69,14 @@ def engine_stats(ops: DataFrame, kv: DataFrame) -> DataFrame:
 
 
 def rate(series: DataFrame, seconds: int = 300) -> DataFrame:
-    """name, window_start, rate: what a counter gains a second in each window of its samples (ts, value)."""
-    w = F.window("ts", f"{seconds} seconds")
-    gain = (F.max("value") - F.min("value")) / F.lit(float(seconds))
-    return series.groupBy("name", w.alias("w")).agg(gain.alias("rate")).select("name", F.col("w.start").alias("window_start"), "rate")
+    """name, window_start, rate: what a counter gains a second in each window of its samples (ts, value).
+
+    A sample below the one before it means that the counter began anew, so all of it is gain.
+    """
+    rows = series.withColumn("w", F.window("ts", f"{seconds} seconds"))
+    before = F.lag("value").over(Window.partitionBy("name", "w").orderBy("ts", "value"))
+    gain = F.when(before.isNull(), 0.0).when(F.col("value") >= before, F.col("value") - before).otherwise(F.col("value"))
+    return rows.withColumn("_gain", gain).groupBy("name", "w").agg((F.sum("_gain") / F.lit(float(seconds))).alias("rate")).select("name", F.col("w.start").alias("window_start"), "rate")
 
 
 def hit_rate(hits: Column, misses: Column) -> Column:

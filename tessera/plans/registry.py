@@ -17,7 +17,7 @@ from tessera.operators import access, audit, cache, index, knn, kv, limiter, met
 from tessera.sources import generate
 from tessera.sources import text as sources
 from tessera.streaming import stateful
-from tessera.streaming.drain import drain
+from tessera.streaming.drain import checkpoint_dir, drain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -196,17 +196,53 @@ def vec_similarity_bar(spark, d):
     return v.select("key", F.round(V.similarity_bar(V.euclidean_distance(F.col("vector"), V.literal(_first_vector(v)))), 6).alias("bar"))
 
 
+def _index(spark, d) -> index.CellIndex:
+    """The index of all vectors, stored in the shared folder and read from there."""
+    built = index.CellIndex.build(_vectors(spark, d), index.IndexConfig(dimension=64, n_cells=16))
+    return built.write(f"{checkpoint_dir(spark)}/index")
+
+
 @query()
 def ivf_knn(spark, d):
-    """Cells probed for every fiftieth vector; recall is tested."""
+    """Cells probed for every fiftieth vector; ivf_recall holds them against exact search."""
+    return _index(spark, d).search_batch(_vectors(spark, d).where("key % 50 = 0"), 10)
+
+
+@query("SELECT count(*)::BIGINT AS n_queries, true AS recall_is_enough FROM embeddings WHERE vec_id % 50 = 0")
+def ivf_recall(spark, d):
+    """Whether the index finds 0.9 or more of the ten nearest that exact search finds."""
     v = _vectors(spark, d)
-    found = index.CellIndex.build(v, index.IndexConfig(dimension=64, n_cells=16))
-    return found.search_batch(v.where("key % 50 = 0"), 10)
+    asked = v.where("key % 50 = 0")
+    exact = knn.knn_join(v, asked, 10).select("query_id", "key")
+    found = _index(spark, d).search_batch(asked, 10).select("query_id", "key", F.lit(1).alias("hit"))
+    share = exact.join(found, ["query_id", "key"], "left").agg(F.countDistinct("query_id").alias("n_queries"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    return share.select("n_queries", (F.col("recall") >= 0.9).alias("recall_is_enough"))
 
 
-@query("SELECT count(*)::BIGINT AS num_vectors FROM embeddings")
+@query("SELECT count(*)::BIGINT AS num_vectors, count(*) > 0 AS in_cells FROM embeddings")
 def ivf_stats(spark, d):
-    return index.CellIndex.build(_vectors(spark, d), index.IndexConfig(dimension=64, n_cells=16)).stats().select("num_vectors")
+    return _index(spark, d).stats().select("num_vectors", ((F.col("n_cells") > 0) & (F.col("largest_cell") <= F.col("num_vectors")) & (F.col("largest_cell") * 16 >= F.col("num_vectors"))).alias("in_cells"))
+
+
+@query(f"WITH {_E} SELECT pos::BIGINT AS pos, k.key, len(v)::INTEGER AS dimension, round(v[1], 6) AS first_element FROM (VALUES (0, 7), (1, 123456789), (2, 0), (3, 7)) k(pos, key) LEFT JOIN e ON e.key = k.key")
+def vec_batch_get(spark, d):
+    keys = spark.createDataFrame([(0, 7), (1, 123456789), (2, 0), (3, 7)], "pos long, key long")
+    got = kv.batch_get(_vectors(spark, d).withColumnRenamed("vector", "value"), keys)
+    return got.select("pos", "key", F.when(F.col("value").isNotNull(), V.dimension(F.col("value"))).alias("dimension"), F.round(F.col("value")[0].cast("double"), 6).alias("first_element"))
+
+
+@query(f"WITH {_E} SELECT key, len(v)::INTEGER AS dimension, round(list_sum(v), 4) AS total FROM e WHERE key = 42")
+def vec_get(spark, d):
+    hit = kv.get(_vectors(spark, d), 42)
+    return hit.select("key", V.dimension(F.col("vector")).alias("dimension"), F.round(F.aggregate(F.transform("vector", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query(f"WITH {_ES}, p AS (SELECT vec_id AS key, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT p.key, round(CASE WHEN p.key % 3 = 0 THEN e.v[1] ELSE p.v[1] END, 6) AS first_element FROM p JOIN e ON e.key = p.key")
+def vec_batch_put(spark, d):
+    """Every third vector is written anew, scaled."""
+    new = _vectors(spark, d, True).where("key % 3 = 0").select("key", "vector")
+    held = oplog.put_vectors(_vectors(spark, d).select("key", "vector"), new, 64)
+    return held.select("key", F.round(F.col("vector")[0].cast("double"), 6).alias("first_element"))
 
 
 # -- entries ------------------------------------------------------------------------------------------
@@ -263,10 +299,10 @@ def kv_scan_empty(spark, d):
     return kv.scan(_customers(spark, d), _RANGE[1], _RANGE[0])
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS value FROM orders WHERE CAST(o_orderkey AS VARCHAR) >= '1' AND CAST(o_orderkey AS VARCHAR) < '2' ORDER BY key LIMIT 1000")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS value FROM orders WHERE CAST(o_orderkey AS VARCHAR) >= '1' AND CAST(o_orderkey AS VARCHAR) < '2' ORDER BY key")
 def kv_scan_large(spark, d):
     orders = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderstatus").alias("value"))
-    return kv.scan(orders, "1", "2", limit=1000)
+    return kv.scan(orders, "1", "2")
 
 
 @query(f"SELECT key, length(value) AS n_chars FROM {_D}")
@@ -576,6 +612,41 @@ def sessionize_30m(spark, d):
     return s.select("user_id", "session_no", "n_events", T.time_text(F.col("started")).alias("started"), T.time_text(F.col("ended")).alias("ended"))
 
 
+def _sessions(spark, d) -> DataFrame:
+    s = table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("session_id")).agg(F.max("ts").alias("last_activity"))
+    return s.withColumn("is_valid", F.lit(True))
+
+
+_S = "s AS (SELECT CAST(user_id AS VARCHAR) AS session_id, max(ts) AS last_activity FROM events GROUP BY user_id)"
+
+
+@query(f"WITH {_S} SELECT session_id, session_id <> '7' AS is_valid FROM s")
+def session_invalidate(spark, d):
+    return access.invalidate(_sessions(spark, d), "7").select("session_id", "is_valid")
+
+
+@query(f"WITH {_S} SELECT session_id, strftime(CASE WHEN session_id = '7' AND epoch_us(TIMESTAMP '2024-02-01') - epoch_us(last_activity) < 7776000000000 THEN TIMESTAMP '2024-02-01' ELSE last_activity END, '%Y-%m-%d %H:%M:%S') AS last_activity FROM s")
+def session_refresh(spark, d):
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    return access.refresh(_sessions(spark, d), "7", now, 90 * 1440).select("session_id", T.time_text(F.col("last_activity")).alias("last_activity"))
+
+
+def _users(spark, d) -> DataFrame:
+    return table(spark, d, "customer").select(F.col("c_name").alias("username"), F.array(F.lower("c_mktsegment")).alias("roles"), F.lit(True).alias("is_active"))
+
+
+@query("SELECT c_name AS username, lower(c_mktsegment) AS roles, true AS is_active FROM customer UNION ALL SELECT 'new one', 'user', true")
+def user_create(spark, d):
+    return access.create_user(_users(spark, d), "new one").select("username", F.concat_ws(",", "roles").alias("roles"), "is_active")
+
+
+@query("SELECT c_name AS username, c_custkey <> 3 AS is_active FROM customer")
+def user_deactivate(spark, d):
+    users = _users(spark, d)
+    name = table(spark, d, "customer").where("c_custkey = 3").first()["c_name"]
+    return access.deactivate(users, name).select("username", "is_active")
+
+
 _BUCKET = """r AS (SELECT user_id, event_id, epoch_us(ts) AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 f AS (SELECT user_id, event_id, sec, n, 3.0::DOUBLE AS tokens, true AS allowed FROM r WHERE n = 1
   UNION ALL SELECT r.user_id, r.event_id, r.sec, r.n, least(3.0, f.tokens + (r.sec - f.sec) / 1e6 / 86400) - CASE WHEN least(3.0, f.tokens + (r.sec - f.sec) / 1e6 / 86400) >= 1 THEN 1 ELSE 0 END, least(3.0, f.tokens + (r.sec - f.sec) / 1e6 / 86400) >= 1
@@ -644,8 +715,12 @@ def streaming_limiter(spark, d):
     return drain(stateful.limiter_decisions(requests, 1 / 86400, 3.0)).select("client", "request_id", "allowed")
 
 
-@query()
+@query("""WITH g AS (SELECT user_id, ts, event_id, CASE WHEN floor((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 60000000) >= 30 OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session_no FROM g)
+SELECT user_id, count(*) AS n_events, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ended FROM s GROUP BY user_id, session_no""")
 def streaming_sessions(spark, d):
-    """Sessions that the watermark has closed; those of the last minutes are still open."""
+    """Sessions that the watermark has closed, and those open at the end of the stream."""
     events = _event_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    return drain(stateful.sessions(events))
+    now = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    s = stateful.with_open_sessions(drain(stateful.sessions(events)), now)
+    return s.select("user_id", "n_events", T.time_text(F.col("started")).alias("started"), T.time_text(F.col("ended")).alias("ended"))

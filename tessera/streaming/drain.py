@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where that isn't set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
+    """A new folder below spark.checkpoint.dir; in a local session without that setting, as in tests, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster sees")
+        base = tempfile.mkdtemp(prefix="tessera-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

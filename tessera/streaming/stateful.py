@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.operators.access import TIMEOUT_MINUTES
+from tessera.operators.access import TIMEOUT_MINUTES, sessionize
 from tessera.operators.limiter import Bucket, step
 from tessera.operators.metrics import bucket
 
@@ -67,6 +67,14 @@ def sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", late: str
     return events.withWatermark(ts, late).groupBy(user, w.alias("w")).agg(F.count(F.lit(1)).alias("n_events"), F.min(ts).alias("started"), F.max(ts).alias("ended")).select(user, "started", "ended", "n_events")
 
 
+def with_open_sessions(closed: DataFrame, events: DataFrame, user: str = "user_id", ts: str = "ts", tie: str = "event_id", timeout: int = TIMEOUT_MINUTES) -> DataFrame:
+    """closed (of sessions()) and, at the end of a stream, the sessions that were still open: those of the events
+    after each user's last closed one."""
+    last = closed.groupBy(F.col(user).alias("_user")).agg(F.max("ended").alias("_last"))
+    rest = events.join(last, F.col(user).eqNullSafe(F.col("_user")), "left").where(F.col("_last").isNull() | (F.col(ts) > F.col("_last"))).drop("_user", "_last")
+    return closed.unionByName(sessionize(rest, user, ts, tie, timeout).select(user, "started", "ended", "n_events"))
+
+
 def windowed_histogram(observations: DataFrame, every: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """name, window_start, le, count of observations (name, ts, value) by window, once the watermark has passed it."""
     w = F.window("ts", every)

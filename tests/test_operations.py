@@ -140,3 +140,9 @@ def test_generators(spark):
     rows = [r.vector for r in v.collect()]
     assert all(len(x) == 5 and max(map(abs, x)) <= 2 for x in rows) and len({tuple(x) for x in rows}) == 20
     assert generate.entries(spark, 3, "k").collect()[2] == ("k_2", "value_2")
+
+
+def test_rate_of_a_counter_that_began_anew(spark):
+    rows = [("c", at(x), float(v)) for x, v in ((0, 10), (10, 30), (20, 5), (30, 9))]
+    series = spark.createDataFrame(rows, "name string, ts timestamp, value double")
+    assert metrics.rate(series, 3600).first().rate == pytest.approx((20 + 5 + 4) / 3600)

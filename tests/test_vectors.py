@@ -135,6 +135,26 @@ def test_index_recall(spark):
         index.IndexConfig(dimension=0)
 
 
+def test_index_is_stored_and_pruned(spark, tmp_path):
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    built = index.CellIndex.build(v, index.IndexConfig(dimension=64, n_cells=0))
+    assert built.config.n_cells == round(v.count() ** 0.5)
+    kept = built.write(str(tmp_path / "index"))
+    again = index.CellIndex.read(spark, str(tmp_path / "index"))
+    query = v.where("key = 3").first().vector
+    want = built.search(query, 5).collect()
+    assert kept.search(query, 5).collect() == want == again.search(query, 5).collect()
+    assert again.config == built.config and again.stats().first().num_vectors == v.count()
+    plan = again.search(query, 5, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan and "MapInArrow" not in plan
+
+
+def test_null_keys_neither_ask_nor_are_found(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [0.0, 1.0])], "key long, vector array<float>")
+    assert [(r.query_id, r.key) for r in knn.knn_join(v, v, 1).orderBy("query_id").collect()] == [(1, 1), (2, 2)]
+    assert {(r.node, r.neighbour) for r in knn.neighbour_graph(v, v, 1).collect()} == {(1, 2), (2, 1)}
+
+
 def test_client_vector():
     a, b = Vector([3, 4]), Vector([0, 0])
     assert a.magnitude() == 5 and a.normalize().to_list() == pytest.approx([0.6, 0.8]) and b.normalize() == b
