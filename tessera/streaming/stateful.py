@@ -72,7 +72,7 @@ def with_open_sessions(closed: DataFrame, events: DataFrame, user: str = "user_i
     after each user's last closed one."""
     last = closed.groupBy(F.col(user).alias("_user")).agg(F.max("ended").alias("_last"))
     rest = events.join(last, F.col(user).eqNullSafe(F.col("_user")), "left").where(F.col("_last").isNull() | (F.col(ts) > F.col("_last"))).drop("_user", "_last")
-    return closed.unionByName(sessionize(rest, user, ts, tie, timeout).select(user, "started", "ended", "n_events"))
+    return closed.select(user, "started", "ended", "n_events").unionByName(sessionize(rest, user, ts, tie, timeout).select(user, "started", "ended", "n_events"))
 
 
 def windowed_histogram(observations: DataFrame, every: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
