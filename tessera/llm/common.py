@@ -13,7 +13,20 @@ _made: list[str] = []
 _tables: list[str] = []
 
 
+#: Rows in a batch between Spark and Python: texts of 10,000 rows, Spark's own number, take 35 MB and more, several
+#: times over in both processes of each task.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's batches to BATCH_ROWS rows, unless another number than Spark's own has been chosen."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -22,6 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only in a local session (as in tests) where the setting is absent does a temporary folder stand in.
     """
+    small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
