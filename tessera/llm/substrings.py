@@ -41,7 +41,7 @@ from tessera.schema import extended
 
 WINDOW, PHRASE = 35, 8
 #: Words of passages in an automaton, parts of texts in a shard, and bytes of texts in a bucket, in the mean.
-SHARD_WORDS, SHARD_PARTS, BUCKET_BYTES = 400_000, 20_000, 32 << 20
+SHARD_WORDS, SHARD_PARTS, BUCKET_BYTES = 400_000, 20_000, 8 << 20
 _KEY = "_passage_key"
 _ROUTED = "shard long, kind int, key long, place long, body binary"
 
