@@ -4,12 +4,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from tests.conftest import SMALL  # noqa: E402
-from tessera.llm import queries, tokencount  # noqa: E402
+from tessera.llm import quality, queries, tokencount  # noqa: E402
 from tests.llm.common import empty_docs, near_components, odd_docs, repeated, words  # noqa: E402
+from tests.llm.test_texts import brute_quality  # noqa: E402
 
 
 def test_stages_keep_the_columns(spark):
@@ -78,3 +80,39 @@ def test_last_stages_equal_brute_force(spark, odd):
         assert r.ids_crc32 in crcs
         got[r.doc_id] += r.length
     assert got == {doc: sum(map(len, own)) for doc, own in ids.items()}
+
+
+def plain_verdict(text, field):
+    """Whether a text stays, by the base rules and the best labels of its lines, line by line; features are the operator's."""
+    lines = quality.Lines(pa.array([text], pa.large_string()))
+    if brute_quality(text)[-1]:
+        return False
+    scores = lines.features @ field.emission.T
+    best = [(scores[0, k], [k]) for k in (0, 1)]
+    for row in scores[1:]:
+        best = [max((best[p][0] + field.transition[p, k] + row[k], [*best[p][1], k]) for p in (0, 1)) for k in (0, 1)]
+    inside = sum(int(n) for n, k in zip(lines.n_words, max(best)[1]) if k == quality.CONTENT)
+    return 2 * inside >= len(words(text))
+
+
+@pytest.mark.parametrize("odd", [True, False])
+def test_first_stage_equals_line_by_line(spark, odd):
+    docs = odd_docs(spark) if odd else spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    field = quality.train(docs, labels)
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.keep_quality(spark, docs, SMALL).collect())
+    assert kept == Counter((r.doc_id, r.text) for r in docs.collect() if plain_verdict(r.text, field))
+
+
+def test_first_stages_keep_clean_documents(spark):
+    at = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    good = {r.doc_id for r in spark.read.parquet(f"{at}/labels.parquet").where("quality > 0").collect()}
+    clean = {r.doc_id for r in docs.collect() if r.doc_id in good and not brute_quality(r.text)[-1]}
+    one = corpus_pipeline.keep_quality(spark, docs, at)
+    two = corpus_pipeline.keep_language(spark, one, at)
+    left = [{r.doc_id for r in x.select("doc_id").collect()} for x in (one, two)]
+    assert len(clean) > 100 and len(clean & left[0]) > 0.98 * len(clean)
+    # documents of a known language are prose, whatever the language
+    known = {r.doc_id for r in one.where("lang is not null").collect()}
+    assert len(known & left[1]) > 0.99 * len(known)
