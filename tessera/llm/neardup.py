@@ -6,16 +6,16 @@
 3. First the pairs of each member of a bucket and the bucket's smallest member (one a member and bucket): bit counts
    of signatures give the similarity, corrected for chance agreement, and pairs within MARGIN of the threshold are
    confirmed on their words. Components of these links bring families of near copies together at linear cost.
-4. Only buckets that still hold several components go on. In each, members outside the smallest member's
-   component are held against all by bit counts, in blocks; a bucket with more than REFINE of them is first split by
-   its members' other bands. Of pairs that come near and lie in different components a spanning forest is passed on;
-   its trees are clusters, and within them, in blocks of bounded size, pairs of different components are compared on
-   full sets. A spanning forest of their links is confirmed on the words.
+4. Only buckets that still hold several components go on. In each, whatever its size, members outside the smallest
+   member's component are held against all by bit counts, in blocks; blocks are larger in a bucket with more than
+   REFINE members, so that its rows are copied less often. Of pairs that come near and lie in different components a
+   spanning forest is passed on; its trees are clusters, and within them, in blocks of bounded size, pairs of different
+   components are compared on full sets. A spanning forest of their links is confirmed on the words.
 5. Components of all links, joined to the classes, label every text.
 
 A pair at the threshold shares none of the 32 buckets with probability (1 - .75**4)**32 = 5e-6, and falls
-below the estimate's margin with less than 1e-6; one that shares a single bucket (8e-5) is lost if that bucket is one of
-those that are split and neither member leads it. Above the threshold all are rarer still.
+below the estimate's margin with less than 1e-6. Above the threshold both are rarer still. A shared bucket is enough,
+however many members it has.
 
 Defined results: null text and text without words have the empty set and are linked with nothing; a text
 of fewer words than a shingle has its whole word sequence for its set; rows that share a doc_id are one
@@ -38,7 +38,6 @@ from tessera.llm.graph import components
 
 SHINGLE, ROWS, BANDS, BITS = 5, 4, 32, 4
 K = ROWS * BANDS
-PER_BYTE = 8 // BITS
 BLOCK, BLOCK_BYTES = 128, 24 << 20
 GRID, REFINE = 512, 4096
 MARGIN = 0.2
@@ -47,7 +46,6 @@ BUCKET_BYTES = 8 << 20
 _random = np.random.Generator(np.random.PCG64(90210))
 _TURNS = _random.integers(1, 2**31, K, dtype=np.uint32) | np.uint32(1)
 _SHIFTS = _random.integers(0, 2**32, K, dtype=np.uint32)
-_EQUAL = np.array([sum((x >> (BITS * i)) & (2**BITS - 1) == 0 for i in range(PER_BYTE)) for x in range(256)], dtype=np.uint8)
 
 
 def _shingles(words: tk.Words, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,12 +85,8 @@ def minima(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def signatures(mins: np.ndarray) -> np.ndarray:
-    """The low BITS bits of each minimum, packed: K * BITS / 8 bytes a row."""
-    low = (mins & np.uint32(2**BITS - 1)).astype(np.uint8)
-    out = np.zeros((len(mins), K // PER_BYTE), dtype=np.uint8)
-    for i in range(PER_BYTE):
-        out |= low[:, i::PER_BYTE] << np.uint8(BITS * i)
-    return out
+    """The low BITS bits of each minimum, K * BITS / 8 bytes a row: the lowest bits of all minima, then the next ones."""
+    return np.concatenate([np.packbits((mins >> np.uint32(i) & np.uint32(1)).astype(np.uint8), axis=1) for i in range(BITS)], axis=1)
 
 
 def band_hashes(mins: np.ndarray) -> np.ndarray:
@@ -140,13 +134,22 @@ def sketch(rows: DataFrame) -> DataFrame:
     return rows.select("node", "doc", "text").mapInArrow(work, SKETCH)
 
 
+def _estimate(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Estimated similarity of signatures (their last axis, uint64), chance agreement taken out."""
+    width, apart = K // 64, 0
+    for j in range(width):
+        differ = left[..., j] ^ right[..., j]
+        for i in range(1, BITS):
+            differ |= left[..., i * width + j] ^ right[..., i * width + j]
+        apart = apart + np.bitwise_count(differ)
+    chance = 2.0**-BITS
+    return ((K - apart.astype(np.int32)) / K - chance) / (1 - chance)
+
+
 def similarity(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Estimated similarity of each signature of left with each of right, chance agreement taken out."""
-    agree = np.zeros((len(left), len(right)), dtype=np.int32)
-    for j in range(left.shape[1]):
-        agree += _EQUAL[left[:, j][:, None] ^ right[:, j][None, :]]
-    chance = 2.0**-BITS
-    return (agree / K - chance) / (1 - chance)
+    left, right = (np.ascontiguousarray(x).view(np.uint64) for x in (left, right))
+    return _estimate(left[:, None], right[None])
 
 
 class _Forest:
@@ -167,11 +170,12 @@ class _Forest:
         return p != q
 
 
-def _near(packed: np.ndarray, sizes: np.ndarray, parts: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: int) -> list[tuple[int, int]]:
-    """Pairs of rows `left` and `right` in different parts whose signatures come near the threshold, nearest first."""
+def _near(packed: np.ndarray, sizes: np.ndarray, parts: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: int, among: np.ndarray | bool = True) -> list[tuple[int, int]]:
+    """Pairs of rows `left` and `right` in different parts whose signatures come near the threshold, nearest first.
+    among: which pairs are looked at."""
     guess = similarity(packed[left], packed[right])
     a, b = sizes[left][:, None], sizes[right][None, :]
-    fit = (100 * np.minimum(a, b) >= threshold * np.maximum(a, b)) & (guess >= threshold / 100 - MARGIN) & (parts[left][:, None] != parts[right][None, :])
+    fit = (100 * np.minimum(a, b) >= threshold * np.maximum(a, b)) & (guess >= threshold / 100 - MARGIN) & (parts[left][:, None] != parts[right][None, :]) & among
     i, j = np.nonzero(fit)
     order = np.argsort(-guess[i, j], kind="stable")
     return list(zip(left[i[order]].tolist(), right[j[order]].tolist()))
@@ -276,8 +280,8 @@ def _leader_pairs(classes: DataFrame, threshold: int) -> DataFrame:
         for batch in batches:
             n = batch.num_rows
             if n:
-                s, t = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(n, -1) for i in (2, 3))
-                guess = (_EQUAL[s ^ t].sum(axis=1) / K - 2.0**-BITS) / (1 - 2.0**-BITS)
+                s, t = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(n, -1) for i in (2, 3))
+                guess = _estimate(s, t)
                 p, q = batch.column(4).to_numpy(), batch.column(5).to_numpy()
                 fit = (100 * np.minimum(p, q) >= threshold * np.maximum(p, q)) & (guess >= threshold / 100 - MARGIN)
                 yield batch.select(["a", "b"]).filter(pa.array(fit))
@@ -296,21 +300,17 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 
 def mixed_groups(classes: DataFrame, parts: DataFrame) -> DataFrame:
-    """What bit counts must still be taken of: rows of _mixed for the buckets, or for splits of them by the members'
-    other bands where more than REFINE members are out."""
-    rows = classes.where("bands is not null").select("node", "bands").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    first = written(_mixed(rows.select(F.explode("bands").alias("group"), "node", "part")), "mixed")
-    small, large = first.where(F.col("n_out") <= REFINE), first.where(F.col("n_out") > REFINE)
-    if large.isEmpty():
-        return small
-    again = large.select("node", "part", F.col("group").alias("bucket")).join(rows.select("node", "bands"), "node")
-    again = again.select("node", "part", "bucket", F.explode("bands").alias("other")).where("bucket != other")
-    return small.unionByName(_mixed(again.select(F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("group"), "node", "part").distinct()))
+    """What bit counts must still be taken of: rows of _mixed for the buckets."""
+    rows = classes.where("bands is not null").select("node", "bands").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    return _mixed(rows.select(F.explode("bands").alias("group"), "node", "part"))
 
 
 def _forests(classes: DataFrame, mixed: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): forests of near pairs of different parts, of blocks of GRID members out of the main part by GRID members."""
-    blocks = lambda n: F.ceil(F.col(n) / GRID).cast("int")
+    """(a, b): forests of near pairs of different parts, of blocks of members out of the main part by members.
+
+    A block has GRID members, in a group of n > REFINE sqrt(n / REFINE) times as many; a task takes it in pieces.
+    """
+    blocks = lambda n: F.ceil(F.col(n) / (GRID * F.sqrt(F.greatest(F.lit(1.0), F.col("n") / REFINE)))).cast("int")
     rows = mixed.join(classes.select("node", "signature", "n_shingles"), "node").withColumn("i", F.pmod(F.xxhash64("node"), blocks("n_out")).cast("int")).withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), blocks("n")).cast("int"))
     tall = rows.where("out").withColumn("j", F.explode(F.sequence(F.lit(0), blocks("n") - 1))).withColumn("side", F.lit(0))
     wide = rows.withColumn("i", F.explode(F.sequence(F.lit(0), blocks("n_out") - 1))).withColumn("side", F.lit(1))
@@ -321,11 +321,16 @@ def _forests(classes: DataFrame, mixed: DataFrame, threshold: int) -> DataFrame:
         for group in groups(batches, ["group", "i", "j"]):
             ids, parts, sizes = (group.column(c).to_numpy() for c in ("node", "part", "n_shingles"))
             packed = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
-            cut = int(np.count_nonzero(group.column("side").to_numpy() == 0))
+            cut, n = int(np.count_nonzero(group.column("side").to_numpy() == 0)), len(ids)
             _, code = np.unique(ids, return_inverse=True)
-            forest = _Forest(len(ids))
-            near = _near(packed, sizes, parts, np.arange(cut), np.arange(cut, len(ids)), threshold)
-            found = [(x, y) for x, y in near if forest.join(int(code[x]), int(code[y]))]
+            forest, found = _Forest(n), []
+            for i in range(0, cut, BLOCK):
+                for j in range(cut, n, GRID):
+                    left, right = np.arange(i, min(i + BLOCK, cut)), np.arange(j, min(j + GRID, n))
+                    trees = [np.array([forest.root(c) for c in code[side].tolist()]) for side in (left, right)]
+                    for x, y in _near(packed, sizes, parts, left, right, threshold, trees[0][:, None] != trees[1]):
+                        if forest.join(int(code[x]), int(code[y])):
+                            found.append((x, y))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[list(c)]) for c in zip(*found)], names=["a", "b"])
 

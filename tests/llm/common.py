@@ -91,3 +91,12 @@ def near_components(ids, texts, threshold=75):
     for i, doc in enumerate(ids):
         low[root(i)] = min(low.get(root(i), doc), doc)
     return [low[root(i)] for i in range(len(ids))], [len(s) for s in sets]
+
+
+def crowded_bucket():
+    """Texts of which the last two are linked (168 of 224 shingles) but share one bucket only, with all the others."""
+    first = [f"p450w{i}" for i in range(200)]
+    second = first[:88] + [f"p450x{i}" for i in range(24)] + first[112:]
+    core = [w for i in (23, 37, 72, 156) for w in first[i : i + 5]]  # the shingles whose hashes are the bucket's
+    others = [core + [f"f{f}e{i}" for i in range(30)] for f in (0, 1, 2, 4, 6, 7, 9, 11, 12, 13, 15, 16)]
+    return [" ".join(t) for t in (*others, first, second)]

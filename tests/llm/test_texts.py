@@ -14,7 +14,7 @@ import pytest
 from tessera.llm import graph, langid, neardup, quality, queries, substrings
 from tessera.llm import textkernel as tk
 from tests.conftest import SMALL
-from tests.llm.common import empty_docs, near_components, odd_docs, odd_texts, repeated, words
+from tests.llm.common import crowded_bucket, empty_docs, near_components, odd_docs, odd_texts, repeated, words
 
 
 def test_words_of_a_slice_equal_the_pattern():
@@ -279,6 +279,19 @@ def test_near_duplicates_in_families(spark, monkeypatch, block, held, refine):
     assert got == dict(zip(ids, near_components(ids, texts)[0]))
 
 
+@pytest.mark.parametrize(("refine", "block"), [(4096, 512), (2, 512), (2, 3)])
+def test_one_shared_bucket_is_enough_in_a_bucket_of_any_size(spark, monkeypatch, refine, block):
+    monkeypatch.setattr(neardup, "REFINE", refine)
+    monkeypatch.setattr(neardup, "GRID", block)
+    texts = crowded_bucket()
+    mins = neardup.minima(*neardup.shingle_sets(pa.array(texts)))
+    bands = neardup.band_hashes(mins)
+    assert np.count_nonzero(bands[-1] == bands[-2]) == 1 and np.count_nonzero((bands == bands[-1]).any(axis=1)) == len(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()}
+    assert got == dict(zip(range(len(texts)), near_components(range(len(texts)), texts)[0])) and got[13] == 12
+
+
 def test_signature_estimate():
     rng = np.random.default_rng(1)
     both = rng.integers(0, 2**63, 3000, dtype=np.uint64)
