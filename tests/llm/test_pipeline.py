@@ -9,8 +9,8 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from tests.conftest import SMALL  # noqa: E402
-from tessera.llm import quality, queries, tokencount  # noqa: E402
-from tests.llm.common import empty_docs, near_components, odd_docs, repeated, words  # noqa: E402
+from tessera.llm import neardup, quality, queries, tokencount  # noqa: E402
+from tests.llm.common import crowded_bucket, empty_docs, near_components, odd_docs, repeated, words  # noqa: E402
 from tests.llm.test_texts import brute_quality  # noqa: E402
 
 
@@ -116,3 +116,12 @@ def test_first_stages_keep_clean_documents(spark):
     # documents of a known language are prose, whatever the language
     known = {r.doc_id for r in one.where("lang is not null").collect()}
     assert len(known & left[1]) > 0.99 * len(known)
+
+
+@pytest.mark.parametrize("refine", [4096, 2])
+def test_near_duplicates_go_whatever_the_size_of_their_bucket(spark, monkeypatch, refine):
+    monkeypatch.setattr(neardup, "REFINE", refine)
+    texts = crowded_bucket()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    one = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL)
+    assert sorted(r.doc_id for r in one.collect()) == list(range(len(texts) - 1))
