@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from tessera.functions import vectors as V
 
 QUERY_BLOCK = 4096
+#: Distances that a task holds at once, and elements of the vectors they are taken to: 2^19 doubles are 4 MB.
+HELD = 1 << 19
 DIGITS = 6
 
 
@@ -46,35 +48,53 @@ def distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
         return -dot
     if metric == "cosine":
         norm = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :]
-        return 1 - np.divide(dot, norm, out=np.zeros_like(dot), where=norm > 0)
+        return 1 - np.divide(dot, norm, out=np.zeros_like(dot), where=norm != 0)
     square = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * dot
     return np.sqrt(np.maximum(square, 0))
 
 
+def _nearer(best: tuple[np.ndarray, ...], worst: np.ndarray, d: np.ndarray, keys: np.ndarray, k: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """The k nearest among the best so far and a block of distances: (query's row, distance, key) in that order, and each
+    query's k-th distance, infinite where it has fewer. Ties at the edge are compared by key; NaN comes last."""
+    n = len(d)
+    near = ~(d > worst[:, None])
+    if d.shape[1] > k and np.count_nonzero(near) > 4 * k * n:
+        near = ~(d > np.fmin(worst, np.partition(d, k - 1, axis=1)[:, k - 1])[:, None])
+    who, at = np.nonzero(near)
+    who, distance, key = (np.concatenate(x) for x in zip(best, (who, d[who, at], keys[at]), strict=True))
+    order = np.lexsort((key, distance, who))
+    who = who[order]
+    kept = np.arange(len(who)) - np.searchsorted(who, np.arange(n))[who] < k
+    who, distance, key = who[kept], distance[order[kept]], key[order[kept]]
+    counts = np.bincount(who, minlength=n)
+    edge = np.full(n, np.inf)
+    edge[counts == k] = distance[np.cumsum(counts)[counts == k] - 1]
+    return (who, distance, key), edge
+
+
 def _block(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, metric: str, key: str, vector: str, digits: int) -> DataFrame:
     held = vectors.sparkSession.sparkContext.broadcast((ids, matrix))  # QUERY_BLOCK rows at most
 
     def work(batches):
         ids, matrix = held.value
-        n = len(ids)
-        best_d, best_k = [np.zeros(0)] * n, [np.zeros(0, np.int64)] * n
+        n_rows = max(1, min(2048, HELD // max(1, matrix.shape[1])))
+        n_queries = max(1, HELD // n_rows)
+        parts = [slice(i, i + n_queries) for i in range(0, len(ids), n_queries)]
+        none = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        state = [(none, np.full(len(ids[p]), np.inf)) for p in parts]
         for batch in batches:
             size = pa.compute.list_value_length(batch.column(1))
             batch = batch.filter(pa.compute.equal(size, matrix.shape[1]).fill_null(False))
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                rows = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                keys = part.column(0).to_numpy()
-                d = np.round(distances(matrix, rows, metric), digits) + 0.0  # no negative zero
-                for i in range(n):
-                    own = np.argpartition(d[i], k - 1)[:k] if len(keys) > k else np.arange(len(keys))
-                    own = np.flatnonzero(d[i] <= d[i][own].max()) if len(own) else own  # ties at the edge stay
-                    both_d, both_k = np.concatenate([best_d[i], d[i][own]]), np.concatenate([best_k[i], keys[own]])
-                    order = np.lexsort((both_k, both_d))[:k]
-                    best_d[i], best_k[i] = both_d[order], both_k[order]
-        counts = [len(x) for x in best_d]
-        if sum(counts):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(np.concatenate(best_k)), pa.array(np.concatenate(best_d))], names=["query_id", "key", "distance"])
+            for at in range(0, batch.num_rows, n_rows):
+                some = batch.slice(at, n_rows)
+                rows = some.column(1).flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, -1)
+                keys = some.column(0).to_numpy()
+                for i, p in enumerate(parts):
+                    d = np.round(distances(matrix[p], rows, metric), digits) + 0.0  # no negative zero
+                    state[i] = _nearer(*state[i], d, keys, k)
+        for p, ((who, distance, key), _) in zip(parts, state, strict=True):
+            if len(who):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[p][who]), pa.array(key), pa.array(distance)], names=["query_id", "key", "distance"])
 
     return vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), vector).mapInArrow(work, "query_id long, key long, distance double")
 
@@ -84,7 +104,7 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str =
     neither asks nor is found.
 
     The queries are a stated set; they are broadcast in blocks of QUERY_BLOCK and held against all vectors,
-    of which each task passes on k a query.
+    of which each task passes on k a query. A task takes HELD distances at a time, however many queries it has.
     """
     metric = V.parse_metric(metric)
     empty = "query_id long, key long, distance double, rank int"

@@ -155,6 +155,63 @@ def test_null_keys_neither_ask_nor_are_found(spark):
     assert {(r.node, r.neighbour) for r in knn.neighbour_graph(v, v, 1).collect()} == {(1, 2), (2, 1)}
 
 
+def test_batch_search_holds_few_distances_at_once(spark):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    class Vectors:
+        """Keeps the function that Spark would run, and runs it here."""
+
+        sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))
+        where = select = lambda self, *_: self
+
+        def mapInArrow(self, work, schema):
+            return work
+
+    def peak(n_queries):
+        rng = np.random.default_rng(5)
+        rows = rng.normal(size=(4096, 8))
+        batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(list(rows.astype(np.float32)))], names=["key", "vector"])
+        asked = rows[:n_queries].astype(np.float32).astype(np.float64)
+        work = knn._block(Vectors(), np.arange(n_queries), asked, 3, "cosine", "key", "vector", 6)
+        tracemalloc.start()
+        found = pa.Table.from_batches(list(work(iter([batch]))))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        first = found.group_by("query_id").aggregate([("distance", "min"), ("key", "count")])
+        assert first.num_rows == n_queries and set(first.column("distance_min").to_pylist()) == {0.0} and set(first.column("key_count").to_pylist()) == {3}
+        return most
+
+    assert peak(4096) < 64e6  # all distances to 2,048 rows are 67 MB
+
+
+def test_batch_search_over_many_blocks_of_ties(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(int(i), [float(x) for x in rng.integers(0, 2, 2)]) for i in rng.permutation(5000)]
+    v = spark.createDataFrame(rows, "key long, vector array<float>").coalesce(1)
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 400)
+    by_key = dict(rows)
+    points = np.array([by_key[i] for i in range(5000)])
+    got = {}
+    for r in knn.knn_join(v, v.where("key < 600"), 9, "l1").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.distance, r.key))
+    for q in range(600):
+        d = np.abs(points - points[q]).sum(1)
+        order = np.lexsort((np.arange(5000), d))[:9]
+        assert sorted(got[q]) == [(i + 1, d[x], x) for i, x in enumerate(order)]
+
+
+def test_a_distance_that_is_no_number_comes_last(spark):
+    nan = float("nan")
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [nan, 0.0]), (3, [0.0, 1.0])], "key long, vector array<float>").coalesce(1)
+    for k, want in ((2, [1, 3]), (5, [1, 3, 2])):
+        assert [r.key for r in knn.knn_join(v, v.where("key = 1"), k).orderBy("rank").collect()] == want == [r.key for r in knn.knn(v, [1.0, 0.0], k).collect()]
+        assert [r.key for r in knn.knn_join(v, v.where("key = 1"), k, "l2").orderBy("rank").collect()] == want
+    assert [r.key for r in knn.knn_join(v, v.where("key = 2"), 2).orderBy("rank").collect()] == [1, 2]
+
+
 def test_client_vector():
     a, b = Vector([3, 4]), Vector([0, 0])
     assert a.magnitude() == 5 and a.normalize().to_list() == pytest.approx([0.6, 0.8]) and b.normalize() == b
