@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from tessera.errors import invalid
 from tessera.functions.vectors import parse_metric
-from tessera.operators.knn import DIGITS, distances
+from tessera.operators.knn import DIGITS, Nearest, distances
 from tessera.schema import extended
 
 
@@ -58,6 +58,11 @@ def _centroids(points: np.ndarray, config: IndexConfig) -> np.ndarray:
     return centres
 
 
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one dimension, a row each."""
+    return vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
 class CellIndex:
     """build() fits on a bounded sample and assigns every vector; search() probes the nearest cells."""
 
@@ -121,7 +126,8 @@ class CellIndex:
     def search_batch(self, queries: DataFrame, k: int = 10, n_probe: int = 12, key: str = "key", vector: str = "vector") -> DataFrame:
         """query_id, key, distance, rank for a stated set of queries: each joins its probed cells.
 
-        A cell's vectors meet its queries in one group of a cell and salt; every group passes on k a query.
+        A cell's vectors meet its queries in one group of a cell and salt; every group passes on k a query, and takes
+        a bounded number of distances at a time.
         """
         held = self.cells.sparkSession.sparkContext.broadcast(self.centres)
         metric = parse_metric(self.config.metric)
@@ -139,18 +145,13 @@ class CellIndex:
         cells = self.cells.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
 
         def rank(left: pa.Table, right: pa.Table) -> pa.Table:
-            out = ([], [], [])
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
             if left.num_rows and right.num_rows:
-                q = np.array(left.column("query").to_pylist(), dtype=np.float64)
-                x = np.array(right.column("vector").to_pylist(), dtype=np.float64)
-                keys = right.column("key").to_numpy()
-                d = np.round(distances(q, x, metric), DIGITS) + 0.0
-                for i, who in enumerate(left.column("query_id").to_pylist()):
-                    order = np.lexsort((keys, d[i]))[:k]
-                    out[0].extend([who] * len(order))
-                    out[1].extend(keys[order].tolist())
-                    out[2].extend(d[i][order].tolist())
-            return pa.table({"query_id": pa.array(out[0], pa.int64()), "key": pa.array(out[1], pa.int64()), "distance": pa.array(out[2], pa.float64())})
+                nearest = Nearest(_matrix(left.column("query")), k, metric, DIGITS)
+                nearest.add(_matrix(right.column("vector")), right.column("key").to_numpy())
+                found.extend(nearest.found())
+            who, keys, distance = (np.concatenate(x) for x in zip(*found, strict=True))
+            return pa.table({"query_id": left.column("query_id").take(pa.array(who)), "key": pa.array(keys, pa.int64()), "distance": pa.array(distance, pa.float64())})
 
         found = asked.groupBy("cell", "salt").cogroup(cells.groupBy("cell", "salt")).applyInArrow(rank, "query_id long, key long, distance double")
         order = Window.partitionBy("query_id").orderBy("distance", "key")

@@ -6,7 +6,7 @@ finds nothing; k beyond the number of vectors finds all.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -53,23 +53,47 @@ def distances(queries: np.ndarray, rows: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def _nearer(best: tuple[np.ndarray, ...], worst: np.ndarray, d: np.ndarray, keys: np.ndarray, k: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
-    """The k nearest among the best so far and a block of distances: (query's row, distance, key) in that order, and each
-    query's k-th distance, infinite where it has fewer. Ties at the edge are compared by key; NaN comes last."""
-    n = len(d)
-    near = ~(d > worst[:, None])
-    if d.shape[1] > k and np.count_nonzero(near) > 4 * k * n:
-        near = ~(d > np.fmin(worst, np.partition(d, k - 1, axis=1)[:, k - 1])[:, None])
-    who, at = np.nonzero(near)
-    who, distance, key = (np.concatenate(x) for x in zip(best, (who, d[who, at], keys[at]), strict=True))
-    order = np.lexsort((key, distance, who))
-    who = who[order]
-    kept = np.arange(len(who)) - np.searchsorted(who, np.arange(n))[who] < k
-    who, distance, key = who[kept], distance[order[kept]], key[order[kept]]
-    counts = np.bincount(who, minlength=n)
-    edge = np.full(n, np.inf)
-    edge[counts == k] = distance[np.cumsum(counts)[counts == k] - 1]
-    return (who, distance, key), edge
+class Nearest:
+    """The k nearest of all added vectors to each row of a matrix; HELD distances are taken at a time."""
+
+    def __init__(self, matrix: np.ndarray, k: int, metric: str, digits: int):
+        self.matrix, self.k, self.metric, self.digits = matrix, k, metric, digits
+        self.n_rows = max(1, min(2048, HELD // max(1, matrix.shape[1])))
+        n_queries = max(1, HELD // self.n_rows)
+        self.parts = [slice(i, min(i + n_queries, len(matrix))) for i in range(0, len(matrix), n_queries)]
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        self.best = [(none, np.full(p.stop - p.start, np.inf)) for p in self.parts]
+
+    def add(self, rows: np.ndarray, keys: np.ndarray) -> None:
+        for at in range(0, len(rows) if self.k > 0 else 0, self.n_rows):
+            some = rows[at : at + self.n_rows]
+            for i, p in enumerate(self.parts):
+                d = np.round(distances(self.matrix[p], some, self.metric), self.digits) + 0.0  # no negative zero
+                self.best[i] = self._nearer(*self.best[i], d, keys[at : at + self.n_rows])
+
+    def _nearer(self, best: tuple[np.ndarray, ...], worst: np.ndarray, d: np.ndarray, keys: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+        """The k nearest among the best so far and a block of distances: (matrix row, key, distance) by row, distance and
+        key, and each row's k-th distance, infinite where it has fewer. Ties at the edge are compared by key; NaN comes last."""
+        n, k = len(d), self.k
+        near = ~(d > worst[:, None])
+        if d.shape[1] > k and np.count_nonzero(near) > 4 * k * n:
+            near = ~(d > np.fmin(worst, np.partition(d, k - 1, axis=1)[:, k - 1])[:, None])
+        who, at = np.nonzero(near)
+        who, key, distance = (np.concatenate(x) for x in zip(best, (who, keys[at], d[who, at]), strict=True))
+        order = np.lexsort((key, distance, who))
+        who = who[order]
+        kept = np.arange(len(who)) - np.searchsorted(who, np.arange(n))[who] < k
+        who, key, distance = who[kept], key[order[kept]], distance[order[kept]]
+        counts = np.bincount(who, minlength=n)
+        edge = np.full(n, np.inf)
+        edge[counts == k] = distance[np.cumsum(counts)[counts == k] - 1]
+        return (who, key, distance), edge
+
+    def found(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Matrix rows, keys and distances, of some rows at a time."""
+        for p, ((who, key, distance), _) in zip(self.parts, self.best, strict=True):
+            if len(who):
+                yield who + p.start, key, distance
 
 
 def _block(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, metric: str, key: str, vector: str, digits: int) -> DataFrame:
@@ -77,24 +101,14 @@ def _block(vectors: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int, metr
 
     def work(batches):
         ids, matrix = held.value
-        n_rows = max(1, min(2048, HELD // max(1, matrix.shape[1])))
-        n_queries = max(1, HELD // n_rows)
-        parts = [slice(i, i + n_queries) for i in range(0, len(ids), n_queries)]
-        none = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
-        state = [(none, np.full(len(ids[p]), np.inf)) for p in parts]
+        nearest = Nearest(matrix, k, metric, digits)
         for batch in batches:
             size = pa.compute.list_value_length(batch.column(1))
             batch = batch.filter(pa.compute.equal(size, matrix.shape[1]).fill_null(False))
-            for at in range(0, batch.num_rows, n_rows):
-                some = batch.slice(at, n_rows)
-                rows = some.column(1).flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, -1)
-                keys = some.column(0).to_numpy()
-                for i, p in enumerate(parts):
-                    d = np.round(distances(matrix[p], rows, metric), digits) + 0.0  # no negative zero
-                    state[i] = _nearer(*state[i], d, keys, k)
-        for p, ((who, distance, key), _) in zip(parts, state, strict=True):
-            if len(who):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[p][who]), pa.array(key), pa.array(distance)], names=["query_id", "key", "distance"])
+            if batch.num_rows:
+                nearest.add(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1), batch.column(0).to_numpy())
+        for who, keys, distance in nearest.found():
+            yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(keys), pa.array(distance)], names=["query_id", "key", "distance"])
 
     return vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), vector).mapInArrow(work, "query_id long, key long, distance double")
 

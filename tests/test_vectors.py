@@ -187,6 +187,39 @@ def test_batch_search_holds_few_distances_at_once(spark):
     assert peak(4096) < 64e6  # all distances to 2,048 rows are 67 MB
 
 
+def test_index_batch_search_holds_few_distances_at_once(spark):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    class Cells:
+        """Keeps the function that Spark would run on a cell's queries and vectors."""
+
+        sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))
+
+        def __getattr__(self, name):
+            return lambda *a: self
+
+        def applyInArrow(self, rank, schema):
+            self.rank = rank
+            return self
+
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(3000, 8)).astype(np.float32)
+    keys, vectors = pa.array(rng.permutation(3000)), pa.array(list(points))
+    rank = index.CellIndex(index.IndexConfig(dimension=8, metric="l2"), points[:4].astype(float), Cells()).search_batch(Cells(), 3).rank
+    asked, held = pa.table({"query_id": keys, "query": vectors}), pa.table({"key": keys, "vector": vectors})
+    tracemalloc.start()
+    found = rank(asked, held)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    first = {q: k for q, k, d in zip(*(found.column(c).to_pylist() for c in ("query_id", "key", "distance")), strict=True) if d == 0}
+    assert found.num_rows == 9000 and first == {k: k for k in range(3000)}
+    assert rank(asked.slice(0, 0), held).num_rows == 0 == rank(asked, held.slice(0, 0)).num_rows
+    assert most < 64e6  # all distances are 72 MB
+
+
 def test_batch_search_over_many_blocks_of_ties(spark, monkeypatch):
     rng = np.random.default_rng(8)
     rows = [(int(i), [float(x) for x in rng.integers(0, 2, 2)]) for i in rng.permutation(5000)]
